@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The analysed workload is batch only (no watermarks, windows over event time,
+stateful operators or late data appear in it), so this package holds no
+streaming operators. Every operator in ``resalekit.operators`` is a plain
+DataFrame transformation and can be applied inside ``foreachBatch`` of a
+Structured Streaming query if new events arrive incrementally.
+"""
