@@ -2,27 +2,24 @@
 
 Spark's exact ``percentile`` keeps a value -> count map per group and merges
 every map of a group in one task, so a group holding a third of all rows
-becomes one task holding all of its distinct values. ``group_median`` below
-stays exact but bounds per-task work:
-
-1. pre-aggregate ``(group, value) -> n`` (shuffle keyed by group *and* value,
-   so a hot group spreads over all partitions; map-side partial counts);
-2. per group: total ``N`` and ``buckets - 1`` approximate cut points over its
-   distinct values (``percentile_approx`` sketches: bounded memory, merged
-   map-side);
-3. tag each ``(group, value)`` with its bucket (cuts are sorted, so buckets
-   are value ranges); count rows per ``(group, bucket)``; a running sum over
-   the at most ``buckets`` bucket rows of a group gives each bucket's first
-   rank;
-4. keep the one or two buckets that hold ranks ``(N-1) div 2`` and
-   ``N div 2``; a running sum over the values of those buckets only
-   (about 1/``buckets`` of the group's distinct values) finds the two order
-   statistics;
-5. interpolate ``lo + (hi - lo) * 0.5``.
-
-The approximate sketch only decides how work is split; the counts and the
-result are exact. Joins to the per-group tables are planned as shuffle joins
-and AQE turns them into broadcasts when the measured side is small.
+becomes one task holding all of its distinct values. ``group_median`` stays
+exact but bounds the work per task:
+
+1. value counts keyed by ``(group, bucket, value)``, where ``bucket`` is a
+   data-independent, order-preserving key (1024 buckets per octave of
+   ``log2(1 + |v|)``, negatives mirrored): map-side partial counts, and a
+   hot group spreads over all partitions by value;
+2. per ``(group, bucket)`` totals (partial aggregation: at most one row per
+   non-empty bucket), then a running sum over a group's bucket rows gives
+   each bucket's first rank and the group's size ``N``;
+3. the one or two buckets holding ranks ``(N-1) div 2`` and ``N div 2`` are
+   joined back to their value counts, and a running sum over those buckets'
+   values only (values within a 0.07 % wide band of magnitudes) finds the
+   two order statistics;
+4. interpolate ``lo + (hi - lo) * 0.5`` (the PERCENTILE_CONT formula).
+
+Only step 1 and the join of step 3 move value-level rows; everything else
+moves bucket- or group-level rows.
 """
 
 from __future__ import annotations
@@ -32,17 +29,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
-DEFAULT_ACCURACY = 1000
+BUCKETS_PER_OCTAVE = 1024
+_TOP = 2 ** 62
 
 
 def _value(value) -> Column:
     return (F.col(value) if isinstance(value, str) else value).cast("double")
 
 
+def order_bucket(v: Column, per_octave: int = BUCKETS_PER_OCTAVE) -> Column:
+    """Monotone non-decreasing bucket of a double: equal values share a
+    bucket and a smaller value never gets a larger bucket. NULL -> NULL."""
+    mag = F.floor(F.log2(F.abs(v) + F.lit(1.0)) * F.lit(float(per_octave)))
+    return (F.when(F.isnan(v), F.lit(_TOP + 1))
+            .when(v == F.lit(float("inf")), F.lit(_TOP))
+            .when(v == F.lit(float("-inf")), F.lit(-_TOP))
+            .when(v >= F.lit(0.0), mag)
+            .when(v < F.lit(0.0), -mag - F.lit(1)))
+
+
 def group_median(df: DataFrame, by: Sequence[str], value, alias: str = "median", *,
-                 count_alias: str | None = None, buckets: int = DEFAULT_BUCKETS,
-                 accuracy: int = DEFAULT_ACCURACY, method: str = "distributed") -> DataFrame:
+                 count_alias: str | None = None, per_octave: int = BUCKETS_PER_OCTAVE,
+                 method: str = "distributed") -> DataFrame:
     """Median of ``value`` per group of ``by`` (NULL values ignored).
 
     Returns ``by + [alias]`` (+ ``count_alias`` = COUNT(*) of the group's
@@ -55,45 +63,42 @@ def group_median(df: DataFrame, by: Sequence[str], value, alias: str = "median",
     """
     by = list(by)
     g = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("_all"))
-    vc = (df.select(g.alias("_g"), _value(value).alias("_v"))
-          .groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_n")))
-    rows = F.sum("_n").alias("_rows")
+    vals = df.select(g.alias("_g"), _value(value).alias("_v"))
 
     if method == "builtin":
-        med = vc.groupBy("_g").agg(F.percentile("_v", 0.5, F.col("_n")).alias(alias), rows)
+        vc = vals.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_n"))
+        med = vc.groupBy("_g").agg(F.percentile("_v", 0.5, F.col("_n")).alias(alias),
+                                   F.sum("_n").alias("_rows"))
         return _unpack(med, by, alias, count_alias)
     if method != "distributed":
         raise ValueError("method must be 'distributed' or 'builtin'")
 
-    cuts = [i / buckets for i in range(1, buckets)]
-    stats = vc.groupBy("_g").agg(
-        rows,
-        F.sum(F.when(F.col("_v").isNotNull(), F.col("_n"))).alias("_N"),
-        F.percentile_approx("_v", cuts, accuracy).alias("_cuts"))
-    ranks = stats.where(F.col("_N") > 0).select(
-        "_g", "_cuts",
-        F.expr("(_N - 1) div 2").alias("_lo"),
-        F.expr("_N div 2").alias("_hi"))
-
-    tagged = vc.where(F.col("_v").isNotNull()).join(ranks, "_g").select(
-        "_g", "_v", "_n", "_lo", "_hi",
-        F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_b"))
+    vc = (vals.select("_g", order_bucket(F.col("_v"), per_octave).alias("_k"), "_v")
+          .groupBy("_g", "_k", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    hist = vc.groupBy("_g", "_k").agg(F.sum("_n").alias("_kn"))
+    valued = F.when(F.col("_k").isNotNull(), F.col("_kn"))
+    whole = Window.partitionBy("_g")
+    running = Window.partitionBy("_g").orderBy("_k").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    hist = hist.select(
+        "_g", "_k", "_kn",
+        F.sum("_kn").over(whole).alias("_rows"),
+        F.coalesce(F.sum(valued).over(whole), F.lit(0)).alias("_N"),
+        F.sum(valued).over(running).alias("_end"))
+    hist = hist.select("*", F.expr("(_N - 1) div 2").alias("_lo"), F.expr("_N div 2").alias("_hi"))
 
     def covers(start: Column, end: Column) -> Column:
         lo, hi = F.col("_lo"), F.col("_hi")
         return ((lo >= start) & (lo < end)) | ((hi >= start) & (hi < end))
 
-    running = Window.partitionBy("_g").orderBy("_b").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    per_bucket = (tagged.groupBy("_g", "_b")
-                  .agg(F.sum("_n").alias("_bn"), F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-                  .withColumn("_end", F.sum("_bn").over(running)))
-    targets = (per_bucket.where(covers(F.col("_end") - F.col("_bn"), F.col("_end")))
-               .select("_g", "_b", (F.col("_end") - F.col("_bn")).alias("_start")))
+    groups = hist.groupBy("_g").agg(F.max("_rows").alias("_rows"))
+    targets = (hist.where(F.col("_k").isNotNull() & (F.col("_N") > 0)
+                          & covers(F.col("_end") - F.col("_kn"), F.col("_end")))
+               .select("_g", "_k", (F.col("_end") - F.col("_kn")).alias("_start"), "_lo", "_hi"))
 
-    in_bucket = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(
+    in_bucket = Window.partitionBy("_g", "_k").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    located = (tagged.join(targets, ["_g", "_b"])
+    located = (vc.join(targets, ["_g", "_k"])
                .withColumn("_e", F.col("_start") + F.sum("_n").over(in_bucket))
                .withColumn("_s", F.col("_e") - F.col("_n"))
                .where(covers(F.col("_s"), F.col("_e"))))
@@ -102,7 +107,7 @@ def group_median(df: DataFrame, by: Sequence[str], value, alias: str = "median",
     picked = located.groupBy("_g").agg(
         F.max(F.when(lo_hit, F.col("_v"))).alias("_x_lo"),
         F.max(F.when(hi_hit, F.col("_v"))).alias("_x_hi"))
-    med = stats.select("_g", "_rows").join(picked, "_g", "left").select(
+    med = groups.join(picked, "_g", "left").select(
         "_g", "_rows", (F.col("_x_lo") + (F.col("_x_hi") - F.col("_x_lo")) * F.lit(0.5)).alias(alias))
     return _unpack(med, by, alias, count_alias)
 

@@ -15,7 +15,7 @@ GEO_BROADCAST_ROWS = 100_000
 
 
 def enrich(events: DataFrame, entities: DataFrame, geo: DataFrame, *,
-           check_keys: bool = False) -> DataFrame:
+           check_keys: bool = False, geo_broadcast: bool | None = None) -> DataFrame:
     """events LEFT JOIN entities ON property_id LEFT JOIN geo ON
     upper(trim(district)); NULL type / subtype / tenure -> 'Unknown'.
 
@@ -28,6 +28,9 @@ def enrich(events: DataFrame, entities: DataFrame, geo: DataFrame, *,
 
     ``check_keys`` verifies first that neither lookup side repeats its key
     (a repeat would fan out every later per-entity window).
+    ``geo_broadcast``: None = broadcast after a bounded row count; True =
+    the caller knows the map is bounded (broadcast, no check job); False =
+    plain join (planner / AQE decide).
     """
     geo_k = geo.select(normalise_key("postcode_district").alias("_dkey"),
                        "postcode_area", "postcode_area_name", "region", "country")
@@ -44,7 +47,11 @@ def enrich(events: DataFrame, entities: DataFrame, geo: DataFrame, *,
         F.col("new_build").alias("property_new_build_flag"),
         normalise_key("postcode_area").alias("_dkey"),
     )
-    ent_geo = ent.join(broadcast_if_small(geo_k, GEO_BROADCAST_ROWS), "_dkey", "left").drop("_dkey")
+    if geo_broadcast is None:
+        geo_side = broadcast_if_small(geo_k, GEO_BROADCAST_ROWS)
+    else:
+        geo_side = F.broadcast(geo_k) if geo_broadcast else geo_k
+    ent_geo = ent.join(geo_side, "_dkey", "left").drop("_dkey")
     return events.join(ent_geo, "property_id", "left").select(
         "property_id", "sale_date", "sale_price", "new_build_at_sale", "address", "postcode",
         "postcode_district", "property_type", "property_subtype", "bedrooms", "bathrooms",

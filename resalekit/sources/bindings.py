@@ -21,6 +21,10 @@ class RawTables:
     events: DataFrame      # price_history shape
     entities: DataFrame    # properties_main shape
     geo: DataFrame         # postcode_region_map shape
+    # True when the geo map's size is bounded by construction (here: 8 rows
+    # per row of the fixed 25-row nation table), so it may be broadcast
+    # without a run-time size check.
+    geo_bounded: bool = False
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,7 +95,7 @@ def bind_orders(spark: SparkSession, sf_dir: str) -> RawTables:
     entities = customer.select(*_entity_columns(
         F.col("c_custkey"), F.col("c_nationkey"), F.col("c_mktsegment"), F.col("c_acctbal")))
     geo = geo_from_nations(_read(spark, sf_dir, "nation"), _read(spark, sf_dir, "region"))
-    return RawTables(events, entities, geo)
+    return RawTables(events, entities, geo, geo_bounded=True)
 
 
 def bind_lineitem(spark: SparkSession, sf_dir: str) -> RawTables:
@@ -109,7 +113,7 @@ def bind_lineitem(spark: SparkSession, sf_dir: str) -> RawTables:
     key = F.col("p_partkey")
     entities = part.select(*_entity_columns(key, key % 25, F.col("p_type"), F.col("p_retailprice")))
     geo = geo_from_nations(_read(spark, sf_dir, "nation"), _read(spark, sf_dir, "region"))
-    return RawTables(events, entities, geo)
+    return RawTables(events, entities, geo, geo_bounded=True)
 
 
 BINDINGS = {"orders": bind_orders, "lineitem": bind_lineitem}
