@@ -78,7 +78,7 @@ def parse_date(col, formats: list[str] | tuple[str, ...] | None = None,
     NULL when none matches."""
     c = _c(col)
     if formats:
-        return F.coalesce(*[F.try_to_date(c, F.lit(f)) for f in formats])
+        return F.coalesce(*[F.try_to_date(c, f) for f in formats])
     if on_error == "null":
         return c.try_cast("date")
     return c.cast("date")

@@ -40,10 +40,7 @@ def enrich(events: DataFrame, entities: DataFrame, geo: DataFrame, *,
     ent = entities.select(
         "property_id", "address", "postcode",
         F.col("postcode_area").alias("postcode_district"),
-        label_or_unknown("property_type").alias("property_type"),
-        label_or_unknown("property_subtype").alias("property_subtype"),
-        "bedrooms", "bathrooms",
-        label_or_unknown("tenure").alias("tenure"),
+        "property_type", "property_subtype", "bedrooms", "bathrooms", "tenure",
         F.col("new_build").alias("property_new_build_flag"),
         normalise_key("postcode_area").alias("_dkey"),
     )
@@ -52,8 +49,13 @@ def enrich(events: DataFrame, entities: DataFrame, geo: DataFrame, *,
     else:
         geo_side = F.broadcast(geo_k) if geo_broadcast else geo_k
     ent_geo = ent.join(geo_side, "_dkey", "left").drop("_dkey")
+    # Labels are defaulted after the join, so events without an entity row
+    # also read 'Unknown'.
     return events.join(ent_geo, "property_id", "left").select(
         "property_id", "sale_date", "sale_price", "new_build_at_sale", "address", "postcode",
-        "postcode_district", "property_type", "property_subtype", "bedrooms", "bathrooms",
-        "tenure", "property_new_build_flag", "postcode_area", "postcode_area_name",
-        "region", "country")
+        "postcode_district",
+        label_or_unknown("property_type").alias("property_type"),
+        label_or_unknown("property_subtype").alias("property_subtype"),
+        "bedrooms", "bathrooms",
+        label_or_unknown("tenure").alias("tenure"),
+        "property_new_build_flag", "postcode_area", "postcode_area_name", "region", "country")
