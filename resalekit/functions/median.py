@@ -120,15 +120,23 @@ def _unpack(med: DataFrame, by: list[str], alias: str, count_alias: str | None)
 
 
 def stacked_medians(df: DataFrame, by: Sequence[str], value, selectors: dict[str, Column],
-                    alias: str = "median", **kw) -> DataFrame:
+                    alias: str = "median", *, keep_groups: bool = False, **kw) -> DataFrame:
     """Several medians over overlapping subsets in one pass.
 
     ``selectors`` maps a label to a boolean condition; every row is repeated
     once per label whose condition holds (``explode`` of the matching
     labels), then one ``group_median`` runs over ``by + ['_subset']``.
+    With ``keep_groups`` a row matching no label is kept once under the
+    label ``'_none'`` with a NULL value, so every group of ``df`` appears
+    (its NULL values collapse to one counted row per group map-side).
     Returns ``by + ['_subset', alias]`` (+ ``count_alias`` if given).
     """
     labels = F.filter(F.array(*[F.when(cond, F.lit(k)) for k, cond in selectors.items()]),
                       lambda x: x.isNotNull())
+    if keep_groups:
+        labels = F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit("_none")))
     exploded = df.select(*by, _value(value).alias("_val"), F.explode(labels).alias("_subset"))
+    if keep_groups:
+        exploded = exploded.withColumn(
+            "_val", F.when(F.col("_subset") == "_none", F.lit(None).cast("double")).otherwise(F.col("_val")))
     return group_median(exploded, list(by) + ["_subset"], "_val", alias, **kw)

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from resalekit.functions.median import stacked_medians
 from resalekit.functions.numeric import days_between, pct_change, round_half_up, years_between
 from resalekit.functions.text import label_or_unknown
-from resalekit.operators.joins import attach
 
 GROUP = ["property_type", "postcode_area", "postcode_area_name", "tenure"]
 
@@ -116,15 +115,15 @@ def quick_gains(h: DataFrame, *, key: str = "property_id", max_years=(2, 5),
 
 def _gains(ev: DataFrame, max_years, floor: float, digits: int | None) -> DataFrame:
     ev = ev.where(F.col("_quick"))
-    groups = ev.select(*GROUP).distinct()
     base = F.col("sale_price") >= F.lit(floor)
     selectors = {f"{n}y": base & (F.col("years_to_next_sale") <= F.lit(n)) for n in max_years}
-    med = stacked_medians(ev, GROUP, "pct_gain", selectors, "_m", count_alias="_c")
-    wide = med.groupBy(*GROUP).agg(
+    # keep_groups: a group with quick events but none in a window still shows
+    # up (count 0, NULL median), without a separate pass for the group list.
+    med = stacked_medians(ev, GROUP, "pct_gain", selectors, "_m", count_alias="_c", keep_groups=True)
+    out = med.groupBy(*GROUP).agg(
         *[c for n in max_years for c in (
             F.max(F.when(F.col("_subset") == f"{n}y", F.col("_c"))).alias(f"quick_events_{n}y"),
             F.max(F.when(F.col("_subset") == f"{n}y", F.col("_m"))).alias(f"median_pct_gain_{n}y"))])
-    out = attach(groups, wide, GROUP)
     cols = []
     for n in max_years:
         cols.append(F.coalesce(F.col(f"quick_events_{n}y"), F.lit(0)).cast("long").alias(f"quick_events_{n}y"))
