@@ -51,10 +51,16 @@ _PREPARED: dict[tuple, dict[str, DataFrame]] = {}
 def forget_prepared(spark: SparkSession | None = None) -> None:
     """Drop the prepared tables of ``spark`` (all sessions when None) so the
     next pipeline call re-reads its sources."""
-    for k in [k for k in _PREPARED if spark is None or k[0] == id(spark)]:
+    for k in [k for k in _PREPARED if spark is None or k[:2] == _session_key(spark)]:
         del _PREPARED[k]
 
 
+def _session_key(spark: SparkSession) -> tuple:
+    # The application id changes when a context is stopped and a new one
+    # started, so frames of a dead context are never handed out again.
+    return (spark.sparkContext.applicationId, id(spark))
+
+
 @dataclass
 class Inputs:
     spark: SparkSession
@@ -83,7 +89,7 @@ class Inputs:
     def _prepared(self, name: str, build) -> DataFrame:
         if not self.materialize:
             return build()
-        key = (id(self.spark), self.binding, self.sf_dir.rstrip("/"))
+        key = (*_session_key(self.spark), self.binding, self.sf_dir.rstrip("/"))
         tables = _PREPARED.setdefault(key, {})
         if name not in tables:
             tables[name] = checkpoint_partitioned(build(), ["property_id"])
