@@ -73,3 +73,12 @@ def test_oracle_parity_sf0001(spark, name):
     didx = [dcols.index(c) for c in order]
     drows = sorted((tuple(_canon(r[i]) for i in didx) for r in cur.fetchall()), key=repr)
     assert srows == drows
+
+
+@have_data
+def test_lineitem_binding_runs(spark):
+    from resalekit.plans.questions import run
+    rows = run("holding_metrics", spark, SF, "lineitem").collect()
+    assert len(rows) > 0
+    r = run("filter_retention", spark, SF, "lineitem").collect()[0]
+    assert r.total_eligible >= r.after_90_day_rule >= r.after_90_day_and_25_cap
