@@ -254,3 +254,10 @@ def test_segment_premium_needs_both_flags(spark):
     r = out[0]
     assert (r.sale_year, r.median_price_new, r.median_price_not_new, r.median_price_diff) == (2010, 200.0, 100.0, 100.0)
     assert (r.sales_count_new, r.sales_count_not_new, r.sales_count_total) == (1, 1, 2)
+
+
+def test_dedup_limits_groups_before_the_shuffle(raw_events):
+    plan = clean.clean_events(raw_events, on_error="null")._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    ex = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line)
+    assert any("WindowGroupLimit" in line and "Partial" in line for line in lines[ex + 1:])
