@@ -3,10 +3,10 @@ tables below ``sf_dir`` and derives the columns of its result from its operator.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_ledger, token_files, url_model
+from . import decontaminate, language, ngram_join, packing, quality_ledger, token_files, toxicity, url_model, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,24 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_and_read(table(spark, sf_dir, "pages"))
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents")).drop("key")
+
+
+def fold(parts: int) -> Column:
+    """crc32 of doc_id as text, modulo ``parts``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = language.identify(table(spark, sf_dir, "documents"), fold(3) != 1)
+    return rows.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -47,6 +65,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op6_token_files, op7_url_model, op8_quality_ledger, op9_packing)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), fold(5) != 0))
+    return rows.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score",
+                       (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_clauses")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_warc, op4_ngram_join, op5_language, op6_token_files, op7_url_model, op8_quality_ledger, op9_packing,
+                                   op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
