@@ -78,8 +78,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int =
     return found.join(broadcast_if_small(items.select("item", "item_ids", F.col("words").alias("theirs"))), "item").drop("item")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """A row per row of ``docs``: doc_id, text, n_words, n_hit (words inside an
+def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM,
+                  keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """A row per row of ``docs``: its columns ``keep``, n_words, n_hit (words inside an
     occurrence of an item's window), item_ids (sorted; those with occurring
     windows), spans (runs of hit words: start, end).
 
@@ -88,9 +89,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     only behind a size check. Null or empty text, or no items: nothing is hit.
     Rows that share a doc_id, also null, are judged each by its own text.
     Other columns are not read; no rows: no rows."""
+    own = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]  # no name of theirs meets one of ours
     by_doc = stage(matches(docs, benchmark, span, gram).groupBy("key").agg(
         F.collect_list(F.struct("item_ids", "n", "shift", "theirs")).alias("hits")), "hits-of-documents")
-    rows = docs.select("doc_id", "text", F.expr(KEY).alias("key"), words(F.col("text")).alias("words"))
+    rows = docs.select(*own, F.expr(KEY).alias("key"), words(F.col("text")).alias("words"))
     rows = rows.join(broadcast_if_small(by_doc, 50_000), "key", "left")
     rows = rows.withColumn("hits", F.expr(  # from -> equal windows: where they start in the document
         "filter(transform(hits, h -> struct(h.item_ids, h.n, filter(transform(sequence(0, size(h.theirs) - h.n), i -> "
@@ -101,7 +103,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     rows = rows.withColumn("starts", F.expr("coalesce(filter(at, (x, j) -> j = 0 or get(at, j - 1) <> x - 1), array())"))
     rows = rows.withColumn("ends", F.expr("filter(at, (x, j) -> coalesce(get(at, j + 1) <> x + 1, true))"))
     return rows.select(
-        "doc_id", "text", F.size("words").cast("long").alias("n_words"),
+        *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], F.size("words").cast("long").alias("n_words"),
         F.coalesce(F.when(F.col("at").isNotNull(), F.size("at")), F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.expr("array_sort(array_distinct(flatten(transform(hits, h -> h.item_ids))))"),
                    F.array().cast("array<string>")).alias("item_ids"),

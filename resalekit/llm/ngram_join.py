@@ -148,7 +148,8 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, cut, k: int, pe
 
 def join_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """A row per row of ``docs``: doc_id, n_shingles, component_id (the smallest
-    doc_id that links lead to, its own included), key (of the row, by ``KEY``).
+    doc_id that links lead to, its own included), key (of the row, by ``KEY``),
+    label (the same for rows of one component; null without shingles).
 
     Words are runs of other than ASCII white space, A-Z lower-cased; fewer
     than ``k`` words are one shingle; null, empty or blank texts have no shingle
@@ -195,4 +196,20 @@ def join_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     least = rows.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     rows = rows.join(broadcast_if_small(stage(least, "component-ids")), "label", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(
-        F.col("doc_id")).alias("component_id"), "key")
+        F.col("doc_id")).alias("component_id"), "key", F.when(F.col("n") > 0, F.col("label")).alias("label"))
+
+
+def one_of_each(docs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay when of each component of ``joined`` only
+    the row with the smallest doc_id does (null last; then by key). Of equal
+    rows one stays. Rows without shingles stay."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    keys = joined.filter("label is not null").groupBy("label", "key").agg(F.min(order).alias("o"), F.count("*").alias("copies"))
+    keys = stage(keys, "component-rows")
+    stays = keys.groupBy("label").agg(F.min("o").alias("first"))
+    gone = keys.join(stays, "label").filter(F.col("o") != F.col("first")).select(F.col("key").alias("__llm_key"))
+    twice = keys.join(stays, "label").filter((F.col("o") == F.col("first")) & (F.col("copies") > 1)).select(F.col("key").alias("__llm_key"))
+    gone, twice = (broadcast_if_small(stage(x, "component-keys")) for x in (gone, twice))
+    same = F.expr(KEY) == F.col("__llm_key")
+    rows = docs.join(gone, same, "left_anti")
+    return rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))

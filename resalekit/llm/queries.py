@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, ngram_join, packing, quality_ledger, token_files, toxicity, url_model, warc
+from . import decontaminate, language, ngram_join, packing, quality_ledger, substring, token_files, toxicity, url_model, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,12 +26,16 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.spans(substring.links(table(spark, sf_dir, "documents"))).drop("key")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read(table(spark, sf_dir, "pages"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join_components(table(spark, sf_dir, "documents")).drop("key")
+    return ngram_join.join_components(table(spark, sf_dir, "documents")).drop("key", "label")
 
 
 def fold(parts: int) -> Column:
@@ -72,7 +76,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_clauses")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_warc, op4_ngram_join, op5_language, op6_token_files, op7_url_model, op8_quality_ledger, op9_packing,
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring, op3_warc, op4_ngram_join, op5_language, op6_token_files, op7_url_model, op8_quality_ledger, op9_packing,
                                    op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
