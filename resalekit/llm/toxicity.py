@@ -27,6 +27,8 @@ WORD, INSULT, THREAT, TARGET, NOT, SAID, MATCH = "WORD", "INSULT", "THREAT", "TA
 #: Labelled rows to learn from at most; stems kept at most; stem lengths.
 TRAIN_ROWS, STEMS, LENGTHS = 10_000, 2000, (3, 12)
 CACHE_PIECES = 300_000
+#: The highest score without a matched clause.
+NO_MATCH = 0.49
 
 # Common words of the languages served.
 THREATS = "kill hurt destroy punish attack beat töten schlagen tuer frapper matar golpear".split()
@@ -173,15 +175,14 @@ def learn_stems(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> d
     return dict(sorted(weight.items(), key=lambda x: (-x[1], x[0]))[:STEMS])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> tuple[float, ...]:
-    """Newton's method; both labels count alike. Last weight: the constant."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-3) -> tuple[float, ...]:
+    """Newton's method, with a small penalty on all weights but the last, the constant."""
     x = np.column_stack([x, np.ones(len(x))])
-    w = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    b = np.zeros(x.shape[1])
+    b, penalty = np.zeros(x.shape[1]), ridge * np.array([1.0] * (x.shape[1] - 1) + [1e-3])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        h = (x * (w * p * (1 - p))[:, None]).T @ x + ridge / 10 * np.diag([1, 1, 1, 1e-3])
-        b = b - np.linalg.solve(h, x.T @ (w * (p - y)) + ridge / 10 * np.append(b[:-1], 0))
+        h = (x * (p * (1 - p))[:, None]).T @ x / len(x) + np.diag(penalty)
+        b = b - np.linalg.solve(h, x.T @ (p - y) / len(x) + penalty * b)
     return tuple(float(v) for v in b)
 
 
@@ -237,8 +238,8 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
     """A row per row of ``docs``: its columns ``keep``, doc_id, score (0 to 1) and
     n_clauses, the clauses that match.
 
-    One pass over whole texts, no shuffle. Null or empty text matches nothing
-    and has the constant's score. Null or repeated doc_id: each row by its own text."""
+    One pass over whole texts, no shuffle. A text that matches nothing, as null
+    and empty ones, has the constant's score, ``NO_MATCH`` at most. Null or repeated doc_id: each row by its own text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.select("doc_id", "text", *[c for c in keep if c not in ("doc_id", "text")])
     cols = ["doc_id", *[c for c in keep if c != "doc_id"]]
@@ -251,6 +252,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
                 f = np.array([features(t, pieces) for t in part.column("text").to_pylist()]).reshape(-1, 3)
                 b = np.array(m.logistic or (0.0, 0.0, 0.0, -30.0))
                 p = 1 / (1 + np.exp(-np.clip(f @ b[:3] + b[3], -30, 30)))
+                p = np.where(f[:, 0] > 0, p, np.minimum(p, NO_MATCH))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in cols], pa.array(p), pa.array(np.rint(np.expm1(f[:, 0])).astype(np.int64))],
                                                  [*cols, "score", "n_clauses"])
 
