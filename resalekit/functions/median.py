@@ -1,35 +1,34 @@
-"""Exact grouped median (PERCENTILE_CONT(0.5)) without a whole group in one task.
-
-Spark's exact ``percentile`` keeps a value -> count map per group and merges
-every map of a group in one task, so a group holding a third of all rows
-becomes one task holding all of its distinct values. ``group_median`` stays
-exact but bounds the work per task:
-
-1. value counts keyed by ``(group, bucket, value)``, where ``bucket`` is a
-   data-independent, order-preserving key (1024 buckets per octave of
-   ``log2(1 + |v|)``, negatives mirrored): map-side partial counts, and a
-   hot group spreads over all partitions by value;
-2. per ``(group, bucket)`` totals (partial aggregation: at most one row per
-   non-empty bucket), then a running sum over a group's bucket rows gives
-   each bucket's first rank and the group's size ``N``;
-3. the one or two buckets holding ranks ``(N-1) div 2`` and ``N div 2`` are
-   joined back to their value counts, and a running sum over those buckets'
-   values only (values within a 0.07 % wide band of magnitudes) finds the
-   two order statistics;
-4. interpolate ``lo + (hi - lo) * 0.5`` (the PERCENTILE_CONT formula).
-
-Only step 1 and the join of step 3 move value-level rows; everything else
-moves bucket- or group-level rows.
+"""Exact grouped medians (PERCENTILE_CONT(0.5)) without a whole group in one task.
+
+Spark's exact ``percentile`` merges a value -> count map of a group in one
+task. ``group_medians`` selects by rank instead:
+
+1. a histogram of each group over order-preserving buckets of the value, counted
+   from the rows with map-side partial counts; a group has a bounded
+   number of buckets, however many rows;
+2. one ``targets`` row per group: its counts and, for each median, the buckets
+   that hold the two middle ranks. A bucket with one value is the answer already;
+3. only rows of the other target buckets are read again, counted by value and
+   ranked. A large target bucket is cut into ``FINER`` parts of its value range
+   first, so that a task ranks the values of one part.
+
+Several medians over overlapping subsets of the rows are conditional counts in
+the same two passes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS_PER_OCTAVE = 1024
+FINER = 4096
+#: Groups whose targets may pass through the driver to be broadcast; rows of a
+#: target bucket that one task may rank.
+SMALL_GROUPS, SMALL_BUCKET = 20_000, 1_000_000
 _TOP = 2 ** 62
 
 
@@ -48,95 +47,126 @@ def order_bucket(v: Column, per_octave: int = BUCKETS_PER_OCTAVE) -> Column:
             .when(v < F.lit(0.0), -mag - F.lit(1)))
 
 
-def group_median(df: DataFrame, by: Sequence[str], value, alias: str = "median", *,
-                 count_alias: str | None = None, per_octave: int = BUCKETS_PER_OCTAVE,
-                 method: str = "distributed") -> DataFrame:
-    """Median of ``value`` per group of ``by`` (NULL values ignored).
+def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be NULL; the keys of ``left`` stay."""
+    other = right.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)],
+                         *[c for c in right.columns if c not in keys])
+    on = reduce(lambda x, y: x & y, [left[k].eqNullSafe(other[f"_r{i}"]) for i, k in enumerate(keys)])
+    return left.join(other, on, how).drop(*[f"_r{i}" for i in range(len(keys))])
+
+
+def _targets(rows: DataFrame, by: list[str], n: int) -> DataFrame:
+    """One row per group. For subset i: _rows{i}, _known{i} (not NULL) and, for the
+    lower and upper middle rank (t of 0, 1): bucket _k, rows before it _s, rows
+    in it _c, least and largest value _a, _b, each numbered {i}{t}."""
+    hist = rows.groupBy(*by, "_k").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"),
+                                       *[F.count_if(f"_in{i}").alias(f"_n{i}") for i in range(n)])
+    whole = Window.partitionBy(*by)
+    running = whole.orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = F.col("_k").isNotNull()
+    cols = []
+    for i in range(n):
+        valued = F.when(known, F.col(f"_n{i}")).otherwise(0)
+        cols += [F.sum(f"_n{i}").over(whole).alias(f"_rows{i}"), F.sum(valued).over(whole).alias(f"_known{i}"),
+                 F.sum(valued).over(running).alias(f"_e{i}")]
+    hist = hist.select("*", *cols)
+    aggs = []
+    for i in range(n):
+        aggs += [F.max(f"_rows{i}").alias(f"_rows{i}"), F.max(f"_known{i}").alias(f"_known{i}")]
+        for t in (0, 1):
+            rank = F.expr(f"(_known{i} - {1 - t}) div 2")
+            here = known & (F.col(f"_known{i}") > 0) & (rank < F.col(f"_e{i}")) & (rank >= F.col(f"_e{i}") - F.col(f"_n{i}"))
+            for name, what in (("_k", F.col("_k")), ("_s", F.col(f"_e{i}") - F.col(f"_n{i}")), ("_c", F.col(f"_n{i}")),
+                               ("_a", F.col("_a")), ("_b", F.col("_b"))):
+                aggs.append(F.max(F.when(here, what)).alias(f"{name}{i}{t}"))
+    return hist.groupBy(*by).agg(*aggs)
+
+
+def group_medians(df: DataFrame, by: Sequence[str], value, subsets: Mapping[str, Column | None], *,
+                  per_octave: int = BUCKETS_PER_OCTAVE, finer: bool | None = None) -> DataFrame:
+    """Median of ``value`` per group of ``by`` for each subset (name -> condition,
+    None for all rows): ``by`` + [name, name + '_count'] for each.
+
+    One row per group of ``df``, as GROUP BY gives; the count is COUNT(*) of the
+    subset's rows, NULL values included; the median ignores NULL values and is NULL
+    without any other. Group keys may be NULL. ``finer`` forces the second level
+    of buckets on or off; by default it is used where a target bucket is large.
+
+    The first pass runs when this is called, to learn the sizes that decide on broadcasting."""
+    keys, n, names = list(by), len(subsets), list(subsets)
+    rows = df.select(*[F.col(k) for k in keys], *([] if keys else [F.lit(0).alias("_all")]), _value(value).alias("_v"),
+                     *[(F.lit(True) if c is None else F.coalesce(c, F.lit(False))).alias(f"_in{i}")
+                       for i, c in enumerate(subsets.values())])
+    by = keys or ["_all"]
+    rows = rows.withColumn("_k", order_bucket(F.col("_v"), per_octave))
+    targets = _targets(rows, by, n)
+    spots = [f"{i}{t}" for i in range(n) for t in (0, 1)]
+    few = targets.limit(SMALL_GROUPS + 1).collect()  # a bounded number of group rows, not of data
+    if len(few) <= SMALL_GROUPS:
+        targets = df.sparkSession.createDataFrame(few, targets.schema)
+        largest = max([r[f"_c{s}"] or 0 for r in few for s in spots if r[f"_a{s}"] != r[f"_b{s}"]], default=0)
+        finer = largest > SMALL_BUCKET if finer is None else finer
+    else:
+        largest, finer = None, True if finer is None else finer
+
+    answer = {s: F.when(F.col(f"_a{s}") == F.col(f"_b{s}"), F.col(f"_a{s}")) for s in spots}
+    if largest != 0:
+        picked = _ranked(rows, targets, by, n, spots, finer, len(few) <= SMALL_GROUPS)
+        targets = _join(targets, picked, by, "left")
+        answer = {s: F.coalesce(answer[s], F.col(f"_x{s}")) for s in spots}
+    out = []
+    for i, name in enumerate(names):
+        lo, hi = answer[f"{i}0"], answer[f"{i}1"]
+        out += [F.when(F.col(f"_known{i}") > 0, lo + (hi - lo) * F.lit(0.5)).alias(name), F.col(f"_rows{i}").alias(f"{name}_count")]
+    return targets.select(*keys, *out)
+
+
+def _ranked(rows: DataFrame, targets: DataFrame, by: list[str], n: int, spots: list[str], finer: bool, few: bool) -> DataFrame:
+    """Per group the values (_x) at the target ranks, from the rows of target buckets with several values."""
+    open_ = F.array_distinct(F.array_compact(F.array(*[F.when(F.col(f"_a{s}") < F.col(f"_b{s}"), F.col(f"_k{s}")) for s in spots])))
+    asked = targets.select(*by, *[f"_known{i}" for i in range(n)], *[f"{c}{s}" for s in spots for c in ("_k", "_s")],
+                           F.explode(open_).alias("_t"),
+                           *[F.col(f"{c}{s}") for s in spots for c in ("_a", "_b")])
+    span = lambda c: F.coalesce(*[F.when(F.col(f"_k{s}") == F.col("_t"), F.col(f"{c}{s}")) for s in spots])
+    asked = asked.withColumn("_lo", span("_a")).withColumn("_hi", span("_b")).drop(*[f"{c}{s}" for s in spots for c in ("_a", "_b")])
+    small = asked.select(*by, "_t", "_lo", "_hi")
+    hits = _join(rows.where("_k is not null").withColumnRenamed("_k", "_t"), F.broadcast(small) if few else small, [*by, "_t"])
+    part = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(float(FINER))) if finer else F.lit(0)
+    counts = hits.groupBy(*by, "_t", part.cast("long").alias("_p"), "_v").agg(*[F.count_if(f"_in{i}").alias(f"_n{i}") for i in range(n)])
+    up_to = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = up_to([*by, "_t", "_p"], "_v")
+    ranked = counts.select("*", *[F.sum(f"_n{i}").over(inside).alias(f"_e{i}") for i in range(n)])
+    if finer:
+        parts = counts.groupBy(*by, "_t", "_p").agg(*[F.sum(f"_n{i}").alias(f"_m{i}") for i in range(n)])
+        before = up_to([*by, "_t"], "_p")
+        parts = parts.select(*by, "_t", "_p", *[(F.sum(f"_m{i}").over(before) - F.col(f"_m{i}")).alias(f"_f{i}") for i in range(n)])
+        ranked = _join(ranked, parts, [*by, "_t", "_p"])
+        ranked = ranked.select(*by, "_t", "_v", *[f"_n{i}" for i in range(n)], *[(F.col(f"_e{i}") + F.col(f"_f{i}")).alias(f"_e{i}") for i in range(n)])
+    ranked = _join(ranked, asked.drop("_lo", "_hi"), [*by, "_t"])
+    aggs = []
+    for s in spots:
+        i, t = s[0], int(s[1])
+        end = F.col(f"_s{s}") + F.col(f"_e{i}")
+        rank = F.expr(f"(_known{i} - {1 - t}) div 2")
+        here = (F.col(f"_k{s}") == F.col("_t")) & (rank < end) & (rank >= end - F.col(f"_n{i}"))
+        aggs.append(F.max(F.when(here, F.col("_v"))).alias(f"_x{s}"))
+    return ranked.groupBy(*by).agg(*aggs)
+
 
-    Returns ``by + [alias]`` (+ ``count_alias`` = COUNT(*) of the group's
-    rows, NULL values included): one row per group, as SQL GROUP BY gives,
-    with a NULL median where every value is NULL. Group keys may be NULL.
+def group_median(df: DataFrame, by: Sequence[str], value, alias: str = "median", *,
+                 count_alias: str | None = None, method: str = "distributed", **kw) -> DataFrame:
+    """Median of ``value`` per group of ``by`` (see ``group_medians``): ``by`` +
+    [alias] (+ ``count_alias``, the group's rows).
 
     ``method='builtin'`` uses Spark's exact ``percentile`` over the
     pre-aggregated value counts (fine when no group is large; kept as the
-    reference implementation for tests).
-    """
+    yardstick for tests and benchmarks)."""
     by = list(by)
-    g = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("_all"))
-    vals = df.select(g.alias("_g"), _value(value).alias("_v"))
-
     if method == "builtin":
-        vc = vals.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_n"))
-        med = vc.groupBy("_g").agg(F.percentile("_v", 0.5, F.col("_n")).alias(alias),
-                                   F.sum("_n").alias("_rows"))
-        return _unpack(med, by, alias, count_alias)
+        counts = df.select(*by, _value(value).alias("_v")).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+        out = counts.groupBy(*by).agg(F.percentile("_v", 0.5, F.col("_n")).alias(alias), F.sum("_n").alias("_rows"))
+        return out.select(*by, alias, *([F.col("_rows").alias(count_alias)] if count_alias else []))
     if method != "distributed":
         raise ValueError("method must be 'distributed' or 'builtin'")
-
-    vc = (vals.select("_g", order_bucket(F.col("_v"), per_octave).alias("_k"), "_v")
-          .groupBy("_g", "_k", "_v").agg(F.count(F.lit(1)).alias("_n")))
-    hist = vc.groupBy("_g", "_k").agg(F.sum("_n").alias("_kn"))
-    valued = F.when(F.col("_k").isNotNull(), F.col("_kn"))
-    whole = Window.partitionBy("_g")
-    running = Window.partitionBy("_g").orderBy("_k").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    hist = hist.select(
-        "_g", "_k", "_kn",
-        F.sum("_kn").over(whole).alias("_rows"),
-        F.coalesce(F.sum(valued).over(whole), F.lit(0)).alias("_N"),
-        F.sum(valued).over(running).alias("_end"))
-    hist = hist.select("*", F.expr("(_N - 1) div 2").alias("_lo"), F.expr("_N div 2").alias("_hi"))
-
-    def covers(start: Column, end: Column) -> Column:
-        lo, hi = F.col("_lo"), F.col("_hi")
-        return ((lo >= start) & (lo < end)) | ((hi >= start) & (hi < end))
-
-    groups = hist.groupBy("_g").agg(F.max("_rows").alias("_rows"))
-    targets = (hist.where(F.col("_k").isNotNull() & (F.col("_N") > 0)
-                          & covers(F.col("_end") - F.col("_kn"), F.col("_end")))
-               .select("_g", "_k", (F.col("_end") - F.col("_kn")).alias("_start"), "_lo", "_hi"))
-
-    in_bucket = Window.partitionBy("_g", "_k").orderBy("_v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    located = (vc.join(targets, ["_g", "_k"])
-               .withColumn("_e", F.col("_start") + F.sum("_n").over(in_bucket))
-               .withColumn("_s", F.col("_e") - F.col("_n"))
-               .where(covers(F.col("_s"), F.col("_e"))))
-    lo_hit = (F.col("_lo") >= F.col("_s")) & (F.col("_lo") < F.col("_e"))
-    hi_hit = (F.col("_hi") >= F.col("_s")) & (F.col("_hi") < F.col("_e"))
-    picked = located.groupBy("_g").agg(
-        F.max(F.when(lo_hit, F.col("_v"))).alias("_x_lo"),
-        F.max(F.when(hi_hit, F.col("_v"))).alias("_x_hi"))
-    med = groups.join(picked, "_g", "left").select(
-        "_g", "_rows", (F.col("_x_lo") + (F.col("_x_hi") - F.col("_x_lo")) * F.lit(0.5)).alias(alias))
-    return _unpack(med, by, alias, count_alias)
-
-
-def _unpack(med: DataFrame, by: list[str], alias: str, count_alias: str | None) -> DataFrame:
-    cols = [F.col("_g").getField(c).alias(c) for c in by] + [F.col(alias)]
-    if count_alias:
-        cols.append(F.col("_rows").alias(count_alias))
-    return med.select(*cols)
-
-
-def stacked_medians(df: DataFrame, by: Sequence[str], value, selectors: dict[str, Column],
-                    alias: str = "median", *, keep_groups: bool = False, **kw) -> DataFrame:
-    """Several medians over overlapping subsets in one pass.
-
-    ``selectors`` maps a label to a boolean condition; every row is repeated
-    once per label whose condition holds (``explode`` of the matching
-    labels), then one ``group_median`` runs over ``by + ['_subset']``.
-    With ``keep_groups`` a row matching no label is kept once under the
-    label ``'_none'`` with a NULL value, so every group of ``df`` appears
-    (its NULL values collapse to one counted row per group map-side).
-    Returns ``by + ['_subset', alias]`` (+ ``count_alias`` if given).
-    """
-    labels = F.filter(F.array(*[F.when(cond, F.lit(k)) for k, cond in selectors.items()]),
-                      lambda x: x.isNotNull())
-    if keep_groups:
-        labels = F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit("_none")))
-    exploded = df.select(*by, _value(value).alias("_val"), F.explode(labels).alias("_subset"))
-    if keep_groups:
-        exploded = exploded.withColumn(
-            "_val", F.when(F.col("_subset") == "_none", F.lit(None).cast("double")).otherwise(F.col("_val")))
-    return group_median(exploded, list(by) + ["_subset"], "_val", alias, **kw)
+    out = group_medians(df, by, value, {"_m": None}, **kw)
+    return out.select(*by, F.col("_m").alias(alias), *([F.col("_m_count").alias(count_alias)] if count_alias else []))

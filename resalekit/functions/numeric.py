@@ -56,32 +56,35 @@ def years_between(end, start, days_per_year: float = DAYS_PER_YEAR) -> Column:
     return days_between(end, start).cast("double") / F.lit(days_per_year)
 
 
+def _strict(text: Column, parsed: Column, what: str, on_error: str) -> Column:
+    """``parsed``; where there is a text that gave nothing, an error unless
+    ``on_error`` is 'null'. Does not depend on the session's ANSI setting."""
+    if on_error == "null":
+        return parsed
+    if on_error != "raise":
+        raise ValueError("on_error must be 'raise' or 'null'")
+    return F.when(text.isNotNull() & parsed.isNull(),
+                  F.raise_error(F.concat(F.lit(f"not {what}: "), text))).otherwise(parsed)
+
+
 def parse_money(col, on_error: str = "raise") -> Column:
     """Money text -> decimal(18,2): keep digits and dots only, empty -> NULL.
 
     '-5' parses as 5 and 'POA' as NULL. A leftover like '1.2.3' or '.' is not
-    a number: ``on_error='raise'`` fails the job (ANSI cast), ``'null'`` maps
-    it to NULL.
+    a number: ``on_error='raise'`` fails the job, ``'null'`` maps it to NULL.
     """
     digits = F.nullif(F.regexp_replace(_c(col), r"[^0-9.]", ""), F.lit(""))
-    if on_error == "null":
-        return digits.try_cast(MONEY)
-    if on_error != "raise":
-        raise ValueError("on_error must be 'raise' or 'null'")
-    return digits.cast(MONEY)
+    return _strict(digits, digits.try_cast(MONEY), "money", on_error)
 
 
 def parse_date(col, formats: list[str] | tuple[str, ...] | None = None,
                on_error: str = "raise") -> Column:
     """Text -> date. Default: the SQL cast (ISO 'yyyy-MM-dd', optionally
-    followed by a time). ``formats`` tries each pattern in turn and yields
-    NULL when none matches."""
+    followed by a time). ``formats`` tries each pattern in turn. A text that
+    none of them reads fails the job, or is NULL with ``on_error='null'``."""
     c = _c(col)
-    if formats:
-        return F.coalesce(*[F.try_to_date(c, f) for f in formats])
-    if on_error == "null":
-        return c.try_cast("date")
-    return c.cast("date")
+    tries = [F.try_to_date(c, f) for f in formats] if formats else [c.try_cast("date")]
+    return _strict(c, F.coalesce(*tries), "a date", on_error)
 
 
 def year_of(col) -> Column:

@@ -66,10 +66,13 @@ def null_profile(df: DataFrame, total_alias: str | None = "total_rows",
 def orphans(left: DataFrame, right: DataFrame, key: str = "property_id",
             alias: str = "orphan_rows") -> DataFrame:
     """Number of ``left`` rows whose key has no row in ``right`` (anti join).
-    Both sides are reduced to their keys first; the anti join is a shuffle
-    join on the key unless the right side is small (AQE)."""
-    missing = left.select(key).join(right.select(key), key, "left_anti")
-    return missing.agg(F.count(F.lit(1)).alias(alias))
+
+    Both sides are reduced to one row per key, with map-side partial
+    aggregation, before they meet: a key with a third of all rows is one row. A
+    NULL key has no partner."""
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    missing = counts.join(right.select(key).distinct(), key, "left_anti")
+    return missing.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias(alias))
 
 
 def cardinality(df: DataFrame, key: str = "property_id") -> DataFrame:

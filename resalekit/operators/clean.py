@@ -12,8 +12,9 @@ from resalekit.functions.text import extract_postcode, outward_code
 def clean_events(raw: DataFrame, key: str = "property_id", date: str = "deedDate",
                  price: str = "displayPrice", flag: str = "newBuild", *,
                  date_formats=None, on_error: str = "raise") -> DataFrame:
-    """One row per (key, date): drop NULL dates, parse date and money, and
-    among duplicates keep the highest price (NULL prices last), then the
+    """One row per (key, date): parse date and money, drop rows without a date
+    (NULL or, with ``on_error='null'``, unreadable: they have no place among an
+    entity's events), and among duplicates keep the highest price (NULL prices last), then the
     flag ordered descending with NULL first (true > false, NULL wins a tie).
 
     Output: property_id, sale_date, sale_price (decimal(18,2)), new_build_at_sale.
@@ -27,7 +28,8 @@ def clean_events(raw: DataFrame, key: str = "property_id", date: str = "deedDate
               .select(F.col(key).alias("property_id"),
                       parse_date(date, date_formats, on_error).alias("sale_date"),
                       parse_money(price, on_error).alias("sale_price"),
-                      F.col(flag).alias("new_build_at_sale")))
+                      F.col(flag).alias("new_build_at_sale"))
+              .where(F.col("sale_date").isNotNull()))
     pick = Window.partitionBy("property_id", "sale_date").orderBy(
         F.col("sale_price").desc_nulls_last(), F.col("new_build_at_sale").desc_nulls_first())
     return (parsed.withColumn("_rn", F.row_number().over(pick))

@@ -7,30 +7,21 @@ from pyspark.sql import functions as F
 
 from resalekit.functions.text import label_or_unknown, normalise_key
 from resalekit.operators.checks import assert_unique
-from resalekit.operators.joins import broadcast_if_small
-
-# Upper bound on geography-map rows for a broadcast (UK has ~3,000 postcode
-# districts; the check reads at most this many rows + 1).
-GEO_BROADCAST_ROWS = 100_000
-
 
 def enrich(events: DataFrame, entities: DataFrame, geo: DataFrame, *,
-           check_keys: bool = False, geo_broadcast: bool | None = None) -> DataFrame:
+           check_keys: bool = False) -> DataFrame:
     """events LEFT JOIN entities ON property_id LEFT JOIN geo ON
     upper(trim(district)); NULL type / subtype / tenure -> 'Unknown'.
 
     The geography map is joined to the entities first (entity grain, the
-    smaller side) and is broadcast after a bounded size check; the event x
-    entity join is a shuffle join on property_id (AQE turns it into a
-    broadcast when the entity side is measured small, and splits skewed
-    partitions). Same rows as joining the map after the events, because the
-    map condition only reads entity columns.
+    smaller side); the event x entity join is on property_id. Neither join has a
+    hint: Spark broadcasts a side only when its size, estimated or
+    measured at run time, is below ``spark.sql.autoBroadcastJoinThreshold``, and splits
+    skewed partitions otherwise. Same rows as joining the map after the events,
+    because the map condition only reads entity columns.
 
     ``check_keys`` verifies first that neither lookup side repeats its key
     (a repeat would fan out every later per-entity window).
-    ``geo_broadcast``: None = broadcast after a bounded row count; True =
-    the caller knows the map is bounded (broadcast, no check job); False =
-    plain join (planner / AQE decide).
     """
     geo_k = geo.select(normalise_key("postcode_district").alias("_dkey"),
                        "postcode_area", "postcode_area_name", "region", "country")
@@ -44,11 +35,7 @@ def enrich(events: DataFrame, entities: DataFrame, geo: DataFrame, *,
         F.col("new_build").alias("property_new_build_flag"),
         normalise_key("postcode_area").alias("_dkey"),
     )
-    if geo_broadcast is None:
-        geo_side = broadcast_if_small(geo_k, GEO_BROADCAST_ROWS)
-    else:
-        geo_side = F.broadcast(geo_k) if geo_broadcast else geo_k
-    ent_geo = ent.join(geo_side, "_dkey", "left").drop("_dkey")
+    ent_geo = ent.join(geo_k, "_dkey", "left").drop("_dkey")
     # Labels are defaulted after the join, so events without an entity row
     # also read 'Unknown'.
     return events.join(ent_geo, "property_id", "left").select(

@@ -20,10 +20,6 @@ from resalekit.functions.median import group_median
 from resalekit.functions.numeric import pct_change, round_half_up, years_between
 
 
-def _order_out(df: DataFrame, keys: Sequence) -> DataFrame:
-    return df.orderBy(*keys)
-
-
 def consecutive_change(h: DataFrame, by: Sequence[str] = ("property_type",), *,
                        key: str = "property_id", date: str = "sale_date",
                        price: str = "sale_price", floor: float | None = 10000,
@@ -47,7 +43,7 @@ def consecutive_change(h: DataFrame, by: Sequence[str] = ("property_type",), *,
                .select(*by, pct_change("_p", "_prev").alias("_pct")))
     med = group_median(changes, by, "_pct", "_m", count_alias=count_alias)
     out = med.select(*by, round_half_up("_m", digits).alias(median_alias), count_alias)
-    return _order_out(out, [F.col(median_alias).desc_nulls_first()] + [F.col(c).asc_nulls_last() for c in by])
+    return out.orderBy(F.col(median_alias).desc_nulls_first(), *[F.col(c).asc_nulls_last() for c in by])
 
 
 def time_to_next(h: DataFrame,
@@ -65,4 +61,4 @@ def time_to_next(h: DataFrame,
              .select(*by, years_between("_next", "_d").alias("_years")))
     med = group_median(pairs, by, "_years", "_m", count_alias=count_alias)
     out = med.select(*by, round_half_up("_m", digits).alias(median_alias), count_alias)
-    return _order_out(out, [F.col(c).asc_nulls_last() for c in by])
+    return out.orderBy(*[F.col(c).asc_nulls_last() for c in by])

@@ -23,16 +23,22 @@ LABEL_SHORT_HOLD_DAYS = "Short hold (<90 days)"
 LABEL_NORMAL_HOLD = "Normal hold (90+ days)"
 
 
+# Attributes of the latest event that the two metric tables carry.
+METRIC_ATTRS = ("property_type", "tenure", "region", "postcode_area", "postcode_area_name")
+GUARDED_ATTRS = ("property_type", "tenure", "postcode_area_name", "region")
+
+
 def first_last(h: DataFrame, attrs: list[str], *, key: str = "property_id",
                date: str = "sale_date", price: str = "sale_price",
                drop_null_price: bool = True) -> DataFrame:
     """Per entity: first/last date and the price at each (a NULL price at the
     first or last date is kept as NULL), number of events, and ``attrs``
     taken from the latest event. Only entities with >= 2 events and
-    first date < last date are kept."""
-    base = h.where(F.col(key).isNotNull() & F.col(date).isNotNull())
+    first date < last date are kept. ``drop_null_price`` drops events without a
+    key or a price first; without it a NULL key is an entity like any other."""
+    base = h.where(F.col(date).isNotNull())
     if drop_null_price:
-        base = base.where(F.col(price).isNotNull())
+        base = base.where(F.col(key).isNotNull() & F.col(price).isNotNull())
     latest = F.max_by(F.struct(*[F.col(a) for a in attrs]), F.col(date)) if attrs else None
     aggs = [F.min(date).alias("_first_date"), F.max(date).alias("_last_date"),
             F.min_by(F.col(price), F.col(date)).alias("_first_price"),
@@ -51,13 +57,12 @@ def _ratio(last: Column, first: Column) -> Column:
 
 
 def holding_metrics(h: DataFrame, *, key: str = "property_id", date: str = "sale_date",
-                    price: str = "sale_price") -> DataFrame:
+                    price: str = "sale_price", attrs=METRIC_ATTRS) -> DataFrame:
     """Per entity with 2+ priced events: first/last date and price,
     event count, years held (2 dp), % change (2 dp), absolute gain and the
     annualised return POWER(last/first, 1/years) - 1 in % (2 dp; computed in
     double, an overflow stays +inf)."""
-    attrs = ["property_type", "tenure", "region", "postcode_area", "postcode_area_name"]
-    fl = first_last(h, attrs, key=key, date=date, price=price, drop_null_price=True)
+    fl = first_last(h, list(attrs), key=key, date=date, price=price, drop_null_price=True)
     days = days_between("_last_date", "_first_date")
     years_exact = days.cast("double") / F.lit(DAYS_PER_YEAR)
     ratio = _ratio(F.col("_last_price"), F.col("_first_price"))
@@ -86,21 +91,16 @@ def review_flag(m: DataFrame, *, floor: float = 10000, short_years: float = 1.0,
 
 
 def guarded_metrics(h: DataFrame, *, key: str = "property_id", date: str = "sale_date",
-                    price: str = "sale_price", min_days: int = 90) -> DataFrame:
+                    price: str = "sale_price", min_days: int = 90, attrs=GUARDED_ATTRS) -> DataFrame:
     """Like W28 but events with a NULL price stay (so a NULL first or
     last price is possible and counts include them); years to 3 dp; days
     held; annualised return POWER(last/first, 365.25/days) only for holds
     of at least ``min_days`` (else NULL), with a hold label."""
-    attrs = ["property_type", "tenure", "postcode_area_name", "region"]
-    fl = first_last(h, attrs, key=key, date=date, price=price, drop_null_price=False)
+    fl = first_last(h, list(attrs), key=key, date=date, price=price, drop_null_price=False)
     days = days_between("_last_date", "_first_date")
     ratio = _ratio(F.col("_last_price"), F.col("_first_price"))
-    first_ok = F.nullif(F.col("_first_price").cast("double"), F.lit(0.0)).isNotNull()
-    cagr = F.when(days < F.lit(min_days), F.lit(None).cast("double")) \
-            .when(~first_ok, F.lit(None).cast("double")) \
-            .when(days <= F.lit(0), F.lit(None).cast("double")) \
-            .otherwise((growth_power(ratio, F.lit(DAYS_PER_YEAR) / days.cast("double")) - F.lit(1.0))
-                       * F.lit(100.0))
+    cagr = F.when(days >= F.lit(min_days),
+                  (growth_power(ratio, F.lit(DAYS_PER_YEAR) / days.cast("double")) - F.lit(1.0)) * F.lit(100.0))
     hold = F.when(days < F.lit(min_days), F.lit(LABEL_SHORT_HOLD_DAYS)).otherwise(F.lit(LABEL_NORMAL_HOLD))
     return fl.select(
         key, *attrs,

@@ -1,10 +1,7 @@
-"""Join helpers: size-checked broadcast and null-safe attach."""
+"""Join helper: size-checked broadcast."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,16 +16,3 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     may still demote it to a broadcast at run time)."""
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
-
-
-def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join ``right``'s non-key columns onto ``left`` on ``keys`` with
-    null-safe equality (a NULL group key matches a NULL key, as GROUP BY
-    groups them). Output keeps ``left``'s key columns."""
-    keys = list(keys)
-    r = right.select(*[F.col(k).alias(f"__k_{k}") for k in keys],
-                     *[c for c in right.columns if c not in keys])
-    cond = reduce(lambda a, b: a & b,
-                  [left[k].eqNullSafe(r[f"__k_{k}"]) for k in keys])
-    joined = left.join(r, cond, how)
-    return joined.drop(*[f"__k_{k}" for k in keys])

@@ -4,8 +4,8 @@ median gain of those quick resale events.
 Plan: one window pass per entity (LEAD date and price, plus entity-wide
 flags over the same partition, so no second sort and no join back), then
 one aggregate per entity on the same partitioning (no exchange), then one
-shuffle by the four group keys. The two gain medians share a single pass
-(``stacked_medians``) instead of re-reading the event set twice.
+shuffle by the four group keys. The gain medians of all windows are conditional
+counts in the same two passes (``group_medians``); no row is repeated.
 """
 
 from __future__ import annotations
@@ -13,32 +13,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from resalekit.functions.median import stacked_medians
+from resalekit.functions.median import group_medians
 from resalekit.functions.numeric import days_between, pct_change, round_half_up, years_between
 from resalekit.functions.text import label_or_unknown
 
 GROUP = ["property_type", "postcode_area", "postcode_area_name", "tenure"]
 
 
-def _prepared(h: DataFrame, key: str) -> DataFrame:
+def _prepared(h: DataFrame, key: str, date: str, price: str) -> DataFrame:
     """Rows usable for resale analysis: key, date, price, area and area name
     present; type and tenure trimmed, blank or NULL -> 'Unknown'."""
-    return (h.where(F.col(key).isNotNull() & F.col("sale_date").isNotNull()
-                    & F.col("sale_price").isNotNull() & F.col("postcode_area").isNotNull()
-                    & F.col("postcode_area_name").isNotNull())
+    needed = [key, date, price, "postcode_area", "postcode_area_name"]
+    return (h.dropna(subset=needed)
             .select(F.col(key).alias("property_id"),
                     label_or_unknown("property_type", blank_is_unknown=True).alias("property_type"),
                     "postcode_area", "postcode_area_name",
                     label_or_unknown("tenure", blank_is_unknown=True).alias("tenure"),
-                    "sale_date", "sale_price"))
+                    F.col(date).alias("sale_date"), F.col(price).alias("sale_price")))
 
 
 def quick_events(h: DataFrame, *, key: str = "property_id", max_years=(2, 5),
-                 min_days: int = 7) -> DataFrame:
+                 min_days: int = 7, date: str = "sale_date", price: str = "sale_price") -> DataFrame:
     """Event-level frame: every sale with its next sale, the gap in days and
     years, the % gain rounded to 1 dp, and entity-wide flags
     (``_has_next``, ``_has_q{n}``) computed over the same window partition."""
-    p = _prepared(h, key)
+    p = _prepared(h, key, date, price)
     by_date = Window.partitionBy("property_id").orderBy("sale_date")
     whole = Window.partitionBy("property_id")
     ev = p.select("*", F.lead("sale_date").over(by_date).alias("next_sale_date"),
@@ -114,22 +113,15 @@ def quick_gains(h: DataFrame, *, key: str = "property_id", max_years=(2, 5),
 
 
 def _gains(ev: DataFrame, max_years, floor: float, digits: int | None) -> DataFrame:
-    ev = ev.where(F.col("_quick"))
     base = F.col("sale_price") >= F.lit(floor)
-    selectors = {f"{n}y": base & (F.col("years_to_next_sale") <= F.lit(n)) for n in max_years}
-    # keep_groups: a group with quick events but none in a window still shows
-    # up (count 0, NULL median), without a separate pass for the group list.
-    med = stacked_medians(ev, GROUP, "pct_gain", selectors, "_m", count_alias="_c", keep_groups=True)
-    out = med.groupBy(*GROUP).agg(
-        *[c for n in max_years for c in (
-            F.max(F.when(F.col("_subset") == f"{n}y", F.col("_c"))).alias(f"quick_events_{n}y"),
-            F.max(F.when(F.col("_subset") == f"{n}y", F.col("_m"))).alias(f"median_pct_gain_{n}y"))])
+    med = group_medians(ev.where(F.col("_quick")), GROUP, "pct_gain",
+                        {f"median_pct_gain_{n}y": base & (F.col("years_to_next_sale") <= F.lit(n)) for n in max_years})
     cols = []
     for n in max_years:
-        cols.append(F.coalesce(F.col(f"quick_events_{n}y"), F.lit(0)).cast("long").alias(f"quick_events_{n}y"))
-        m = F.col(f"median_pct_gain_{n}y")
-        cols.append((round_half_up(m, digits) if digits is not None else m).alias(f"median_pct_gain_{n}y"))
-    return out.select(*GROUP, *cols)
+        m = f"median_pct_gain_{n}y"
+        cols += [F.col(f"{m}_count").alias(f"quick_events_{n}y"),
+                 (round_half_up(m, digits) if digits is not None else F.col(m)).alias(m)]
+    return med.select(*GROUP, *cols)
 
 
 def quick_resale_summary(h: DataFrame, *, key: str = "property_id", max_years=(2, 5),

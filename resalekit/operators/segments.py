@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from resalekit.functions.median import group_median
+from resalekit.functions.median import group_median, group_medians
 from resalekit.functions.numeric import round_half_up, year_of
 from resalekit.functions.text import map_labels
 from resalekit.operators.ranking import top_groups
@@ -36,20 +36,14 @@ def period_growth(h: DataFrame, years: tuple[int, int] = (2013, 2023),
     >= ``min_count`` rows (NULL prices included) in both years."""
     a, b = years
     by = list(by)
-    rows = h.where(_year_filter(date, years)).select(*by, year_of(date).alias("sale_year"), price)
-    med = group_median(rows, by + ["sale_year"], price, "_m", count_alias="_c")
-    wide = med.groupBy(*by).agg(
-        F.max(F.when(F.col("sale_year") == a, F.col("_m"))).alias(f"median_price_{a}"),
-        F.max(F.when(F.col("sale_year") == b, F.col("_m"))).alias(f"median_price_{b}"),
-        F.max(F.when(F.col("sale_year") == a, F.col("_c"))).alias(f"sales_count_{a}"),
-        F.max(F.when(F.col("sale_year") == b, F.col("_c"))).alias(f"sales_count_{b}"))
-    ma = round_half_up(f"median_price_{a}", MEDIAN_DIGITS)
-    mb = round_half_up(f"median_price_{b}", MEDIAN_DIGITS)
-    growth = round_half_up((mb - ma) / F.nullif(ma, F.lit(0.0)), 3)
-    return (wide.where(F.col(f"median_price_{a}").isNotNull() & F.col(f"median_price_{b}").isNotNull()
-                       & (F.col(f"sales_count_{a}") >= min_count) & (F.col(f"sales_count_{b}") >= min_count))
-            .select(*by, ma.alias(f"median_price_{a}"), mb.alias(f"median_price_{b}"),
-                    f"sales_count_{a}", f"sales_count_{b}", growth.alias("percent_change")))
+    rows = h.where(_year_filter(date, years)).select(*by, year_of(date).alias("_y"), price)
+    # a year's median and count are conditional counts of one grouping: no pivot
+    med = group_medians(rows, by, price, {f"_m{y}": F.col("_y") == y for y in (a, b)})
+    growth = round_half_up((F.col(f"_m{b}") - F.col(f"_m{a}")) / F.nullif(F.col(f"_m{a}"), F.lit(0.0)), 3)
+    return (med.where(F.col(f"_m{a}").isNotNull() & F.col(f"_m{b}").isNotNull()
+                      & (F.col(f"_m{a}_count") >= min_count) & (F.col(f"_m{b}_count") >= min_count))
+            .select(*by, *[round_half_up(f"_m{y}", MEDIAN_DIGITS).alias(f"median_price_{y}") for y in (a, b)],
+                    *[F.col(f"_m{y}_count").alias(f"sales_count_{y}") for y in (a, b)], growth.alias("percent_change")))
 
 
 def growth_long(wide: DataFrame, years: tuple[int, int] = (2013, 2023),
@@ -73,28 +67,21 @@ def segment_premium(h: DataFrame, flag: str = "new_build_at_sale",
     """Per group x year x segment, the median price and count with the
     flag true and false, the difference and the total; only where both
     medians exist. ``area_name`` filters one area (applied before the
-    aggregation; same rows as filtering after it)."""
+    aggregation; same rows as filtering after it) of the last column of ``by``."""
     by = list(by)
     rows = h.where(F.col(price).isNotNull() & F.col(flag).isNotNull())
     if area_name is not None:
-        rows = rows.where(F.col("postcode_area_name") == F.lit(area_name))
+        rows = rows.where(F.col(by[-1]) == F.lit(area_name))
     rows = rows.select(*by, year_of(date).alias("sale_year"), segment, flag, price)
     keys = by + ["sale_year", segment]
-    med = group_median(rows, keys + [flag], price, "_m", count_alias="_c")
-    f = F.col(flag)
-    wide = med.groupBy(*keys).agg(
-        F.max(F.when(f == F.lit(True), F.col("_m"))).alias("_m_new"),
-        F.max(F.when(f == F.lit(False), F.col("_m"))).alias("_m_old"),
-        F.sum(F.when(f == F.lit(True), F.col("_c")).otherwise(F.lit(0))).alias("sales_count_new"),
-        F.sum(F.when(f == F.lit(False), F.col("_c")).otherwise(F.lit(0))).alias("sales_count_not_new"))
-    m_new = round_half_up("_m_new", MEDIAN_DIGITS)
-    m_old = round_half_up("_m_old", MEDIAN_DIGITS)
-    return (wide.where(F.col("_m_new").isNotNull() & F.col("_m_old").isNotNull())
+    med = group_medians(rows, keys, price, {"_new": F.col(flag), "_old": ~F.col(flag)})
+    return (med.where(F.col("_new").isNotNull() & F.col("_old").isNotNull())
             .select(*by, "sale_year", segment,
-                    m_old.alias("median_price_not_new"), m_new.alias("median_price_new"),
-                    round_half_up(m_new - m_old, MEDIAN_DIGITS).alias("median_price_diff"),
-                    "sales_count_not_new", "sales_count_new",
-                    (F.col("sales_count_new") + F.col("sales_count_not_new")).alias("sales_count_total"))
+                    round_half_up("_old", MEDIAN_DIGITS).alias("median_price_not_new"),
+                    round_half_up("_new", MEDIAN_DIGITS).alias("median_price_new"),
+                    round_half_up(F.col("_new") - F.col("_old"), MEDIAN_DIGITS).alias("median_price_diff"),
+                    F.col("_old_count").alias("sales_count_not_new"), F.col("_new_count").alias("sales_count_new"),
+                    (F.col("_new_count") + F.col("_old_count")).alias("sales_count_total"))
             .orderBy(*[F.col(c).asc_nulls_last() for c in by], "sale_year"))
 
 
@@ -110,7 +97,7 @@ def segment_median(h: DataFrame, by: Sequence[str] = ("postcode_area", "postcode
     through ``labels`` (so two raw values can print the same label on two
     rows); ``collapse=True`` groups by the printed label instead."""
     by = list(by)
-    rows = h.where(F.col(price).isNotNull() & F.col("postcode_area").isNotNull())
+    rows = h.where(F.col(price).isNotNull() & F.col(by[0]).isNotNull())
     label = map_labels(segment, dict(labels))
     if collapse:
         rows = rows.select(*by, label.alias(label_alias), price)
@@ -141,39 +128,31 @@ def busiest_areas(h: DataFrame, shocks: Sequence[int] = (2008, 2020), n: int = 6
 
 
 def shock_windows(h: DataFrame, shocks: Sequence[int] = (2008, 2020), n_areas: int = 6, *,
-                  date: str = "sale_date", price: str = "sale_price") -> DataFrame:
-    """For the busiest areas, median price and count per area x year in
-    each shock window (year before, shock year, year after), with the
+                  date: str = "sale_date", price: str = "sale_price",
+                  by: Sequence[str] = ("postcode_area", "postcode_area_name")) -> DataFrame:
+    """For the busiest areas (first column of ``by``), median price and count
+    per area x year in each shock window (year before, shock year, year after), with the
     before/after medians of the window on every row and the % change from
-    before to after (1 dp)."""
-    years = _shock_years(shocks)
-    cond = _year_filter(date, years) & F.col("postcode_area").isNotNull() & F.col(price).isNotNull()
-    sales = h.where(cond).select("postcode_area", "postcode_area_name",
-                                 year_of(date).alias("sale_year"), price)
-    top = busiest_areas(h, shocks, n_areas, date=date, price=price).select("postcode_area")
-    # top holds n_areas rows: a broadcast bounded by the parameter.
-    sales = sales.join(F.broadcast(top), "postcode_area", "left_semi")
-    med = group_median(sales, ["postcode_area", "postcode_area_name", "sale_year"], price,
-                       "_m", count_alias="sales_count")
+    before to after (1 dp).
+
+    The counts per area and year that the medians come with also tell the busiest areas."""
+    by, area = list(by), by[0]
+    cond = _year_filter(date, _shock_years(shocks)) & F.col(area).isNotNull() & F.col(price).isNotNull()
+    sales = h.where(cond).select(*by, year_of(date).alias("sale_year"), price)
+    med = group_median(sales, by + ["sale_year"], price, "_m", count_alias="sales_count")
+    top = med.groupBy(area).agg(F.sum("sales_count").alias("_n")).orderBy(
+        F.col("_n").desc(), F.col(area).asc_nulls_last()).limit(n_areas).select(area)
+    med = med.join(F.broadcast(top), area, "left_semi")  # n_areas rows
     y = F.col("sale_year")
-    shock = None
-    for s in shocks:
-        shock = (F.when(y.between(s - 1, s + 1), F.lit(s)) if shock is None
-                 else shock.when(y.between(s - 1, s + 1), F.lit(s)))
-    before = [s - 1 for s in shocks]
-    at = list(shocks)
-    after = [s + 1 for s in shocks]
-    role = (F.when(y.isin(before), F.lit("Before")).when(y.isin(at), F.lit("Shock"))
-            .when(y.isin(after), F.lit("After")))
-    labeled = med.select("postcode_area", "postcode_area_name", "sale_year",
-                         round_half_up("_m", MEDIAN_DIGITS).alias("median_price"), "sales_count",
-                         shock.alias("shock_year"), role.alias("year_role"))
+    shock = F.coalesce(*[F.when(y.between(s - 1, s + 1), F.lit(s)) for s in shocks])
+    role = F.element_at(F.array(*map(F.lit, ("Before", "Shock", "After"))), y - F.col("shock_year") + 2)
+    labeled = med.select(*by, "sale_year", "_m", "sales_count", shock.alias("shock_year")).withColumn("year_role", role)
     # Window over <= 3 area-year rows per (area, shock): bounded.
-    w = Window.partitionBy("postcode_area", "shock_year")
-    mb = F.max(F.when(F.col("year_role") == "Before", F.col("median_price"))).over(w)
-    ma = F.max(F.when(F.col("year_role") == "After", F.col("median_price"))).over(w)
-    out = labeled.select("*", mb.alias("median_price_before"), ma.alias("median_price_after"))
-    pct = round_half_up(F.lit(100.0) * (F.col("median_price_after") - F.col("median_price_before"))
-                        / F.nullif(F.col("median_price_before"), F.lit(0.0)), 1)
-    return (out.select("*", pct.alias("pct_change_before_to_after"))
-            .orderBy(F.col("shock_year").asc_nulls_last(), "postcode_area", "sale_year"))
+    w = Window.partitionBy(area, "shock_year")
+    of = lambda r: F.max(F.when(F.col("year_role") == r, F.col("_m"))).over(w)
+    out = labeled.select("*", of("Before").alias("_b"), of("After").alias("_a"))
+    pct = round_half_up(F.lit(100.0) * (F.col("_a") - F.col("_b")) / F.nullif(F.col("_b"), F.lit(0.0)), 1)
+    return (out.select(*by, "sale_year", round_half_up("_m", MEDIAN_DIGITS).alias("median_price"), "sales_count",
+                       "shock_year", "year_role", round_half_up("_b", MEDIAN_DIGITS).alias("median_price_before"),
+                       round_half_up("_a", MEDIAN_DIGITS).alias("median_price_after"), pct.alias("pct_change_before_to_after"))
+            .orderBy(F.col("shock_year").asc_nulls_last(), area, "sale_year"))

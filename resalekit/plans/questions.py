@@ -1,11 +1,11 @@
-"""The analysis as named pipelines over bound tables.
-
-``Inputs`` builds the raw, clean and enriched frames lazily from a source
-directory and a binding; each ``q_*`` function returns the DataFrame of one
-item. Parameters default to the values the driver data calls for (its dates
-run 1995-2001): growth years 1996/2000, shocks 1996/1999, premium area
-'NATION_5'; the library defaults (2013/2023, 2008/2020, no area) apply when
-the operators are called directly.
+"""The analysis as named pipelines over raw tables.
+
+``Inputs`` holds the raw, clean and enriched frames of one source; each ``q_*``
+function returns the DataFrame of one item. Nothing is kept between calls: a
+pipeline reads its Parquet sources when it runs, so only the columns and date
+ranges it needs are read and a changed source gives a changed result. The clean
+and enriched tables can be stored: ``build_tables`` writes them to a location
+that the caller names, and ``Inputs(..., tables=location)`` reads them from there.
 """
 
 from __future__ import annotations
@@ -17,97 +17,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resalekit.operators import checks, clean, enrich, history, holding, quick, ranking, segments
-from resalekit.plans.materialize import checkpoint_partitioned
+from resalekit.plans.params import Params
 from resalekit.sources.bindings import BINDINGS, RawTables
 from resalekit.sources.sinks import write_result
 
-
-@dataclass(frozen=True)
-class Params:
-    floor: float = 10000
-    growth_years: tuple[int, int] = (1996, 2000)
-    min_count: int = 10
-    premium_area: str | None = "NATION_5"
-    shocks: tuple[int, int] = (1996, 1999)
-    n_areas: int = 6
-    top_n: int = 10
-    quick_years: tuple[int, int] = (2, 5)
-    quick_min_days: int = 7
-    short_years: float = 1.0
-    min_hold_days: int = 90
-    cap: float = 25.0
-
-
-# Prepared tables per (session, binding, source directory). Like the
-# analysed workload, which keeps its raw and clean tables as stored tables
-# and runs every question off them, the bound raw tables, the clean tables
-# and the enriched frame are computed once per session and written with a
-# reliable ``checkpoint()`` under the cluster's ``spark.checkpoint.dir``
-# (lineage cut, survives executor loss, keeps the property_id partitioning
-# for the per-entity windows and joins).
-_PREPARED: dict[tuple, dict[str, DataFrame]] = {}
-
-
-def forget_prepared(spark: SparkSession | None = None) -> None:
-    """Drop the prepared tables of ``spark`` (all sessions when None) so the
-    next pipeline call re-reads its sources."""
-    for k in [k for k in _PREPARED if spark is None or k[:2] == _session_key(spark)]:
-        del _PREPARED[k]
-
-
-def _session_key(spark: SparkSession) -> tuple:
-    # The application id changes when a context is stopped and a new one
-    # started, so frames of a dead context are never handed out again.
-    return (spark.sparkContext.applicationId, id(spark))
+STORED = ("clean_events", "clean_entities", "enriched")
 
 
 @dataclass
 class Inputs:
+    """Raw tables are those of a binding over ``sf_dir``, or ``raw_tables``."""
+
     spark: SparkSession
-    sf_dir: str
+    sf_dir: str = ""
     binding: str = "orders"
     params: Params = field(default_factory=Params)
-    materialize: bool = True
+    tables: str | None = None
+    raw_tables: RawTables | None = None
 
     @cached_property
     def raw(self) -> RawTables:
-        return BINDINGS[self.binding](self.spark, self.sf_dir)
+        return self.raw_tables or BINDINGS[self.binding](self.spark, self.sf_dir)
 
     @property
     def events(self) -> DataFrame:
-        return self._prepared("raw_events", lambda: self.raw.events)
+        return self.raw.events
 
     @property
     def entities(self) -> DataFrame:
-        return self._prepared("raw_entities", lambda: self.raw.entities)
-
-    def prepare(self) -> None:
-        """Materialise the raw, clean and enriched tables now."""
-        for t in (self.events, self.entities, self.clean_events, self.clean_entities, self.enriched):
-            assert t is not None
-
-    def _prepared(self, name: str, build) -> DataFrame:
-        if not self.materialize:
-            return build()
-        key = (*_session_key(self.spark), self.binding, self.sf_dir.rstrip("/"))
-        tables = _PREPARED.setdefault(key, {})
-        if name not in tables:
-            tables[name] = checkpoint_partitioned(build(), ["property_id"])
-        return tables[name]
+        return self.raw.entities
+
+    def _table(self, name: str, build) -> DataFrame:
+        return self.spark.read.parquet(f"{self.tables.rstrip('/')}/{name}") if self.tables else build()
 
     @property
     def clean_events(self) -> DataFrame:
-        return self._prepared("clean_events", lambda: clean.clean_events(self.events))
+        return self._table("clean_events", lambda: clean.clean_events(self.events))
 
     @property
     def clean_entities(self) -> DataFrame:
-        return self._prepared("clean_entities", lambda: clean.clean_entities(self.entities))
+        return self._table("clean_entities", lambda: clean.clean_entities(self.entities))
 
     @property
     def enriched(self) -> DataFrame:
-        return self._prepared("enriched", lambda: enrich.enrich(
-            self.clean_events, self.clean_entities, self.raw.geo,
-            geo_broadcast=self.raw.geo_bounded))
+        return self._table("enriched", lambda: enrich.enrich(self.clean_events, self.clean_entities, self.raw.geo))
+
+
+def build_tables(inputs: Inputs, location: str) -> Inputs:
+    """Store the clean and enriched tables as Parquet below ``location`` (a folder
+    that all executors share), replacing what is there, and return inputs that
+    read them. Rows are sorted by date within each file, so date ranges skip row
+    groups. A repeated entity key or district fails before anything is written
+    to ``enriched``: it would fan out every later window."""
+    source = Inputs(inputs.spark, inputs.sf_dir, inputs.binding, inputs.params, None, inputs.raw_tables)
+    stored = Inputs(inputs.spark, inputs.sf_dir, inputs.binding, inputs.params, location, inputs.raw_tables)
+
+    def write(df: DataFrame, name: str, *order: str) -> None:
+        (df.sortWithinPartitions(*order) if order else df).write.mode("overwrite").parquet(f"{location.rstrip('/')}/{name}")
+
+    write(source.clean_events, "clean_events", "sale_date")
+    write(source.clean_entities, "clean_entities")
+    write(enrich.enrich(stored.clean_events, stored.clean_entities, source.raw.geo, check_keys=True), "enriched", "sale_date")
+    return stored
 
 
 # --- preparation and checks -------------------------------------------------
@@ -229,6 +200,11 @@ def q_premium_new_vs_old(i: Inputs) -> DataFrame:
     return segments.segment_premium(i.enriched, area_name=i.params.premium_area)
 
 
+def q_premium_new_vs_old_all(i: Inputs) -> DataFrame:
+    """W26 without the area filter."""
+    return segments.segment_premium(i.enriched)
+
+
 def q_median_by_tenure(i: Inputs) -> DataFrame:
     return segments.segment_median(i.enriched)
 
@@ -283,10 +259,9 @@ def q_filter_retention(i: Inputs) -> DataFrame:
 # --- sink ------------------------------------------------------------------------
 
 def q_export_long_result(i: Inputs) -> DataFrame:
-    """Write the long growth table under the shared folder and read it back."""
+    """The long growth table, written below the shared folder and read back."""
     from resalekit.session import shared_dir
-    path = shared_dir(i.spark, "exports", "period_growth_long")
-    write_result(q_period_growth_long(i), path, "parquet", single_file=True)
+    path = write_result(q_period_growth_long(i), shared_dir(i.spark, "exports", "period_growth_long"))
     return i.spark.read.parquet(path)
 
 
@@ -317,6 +292,7 @@ PIPELINES = {
     "period_growth_wide": q_period_growth_wide,
     "period_growth_long": q_period_growth_long,
     "premium_new_vs_old": q_premium_new_vs_old,
+    "premium_new_vs_old_all": q_premium_new_vs_old_all,
     "median_by_tenure": q_median_by_tenure,
     "holding_metrics": q_holding_metrics,
     "holding_review_flag": q_holding_review_flag,
@@ -330,6 +306,8 @@ PIPELINES = {
 }
 
 
-def run(name: str, spark: SparkSession, sf_dir: str, binding: str = "orders",
-        params: Params | None = None) -> DataFrame:
-    return PIPELINES[name](Inputs(spark, sf_dir, binding, params or Params()))
+def run(name: str, spark: SparkSession, sf_dir: str = "", binding: str = "orders",
+        params: Params | None = None, tables: str | None = None, raw_tables: RawTables | None = None) -> DataFrame:
+    """One item over a binding of the driver's tables, or over ``raw_tables`` (see
+    ``bind_raw``); with ``tables``, off the stored clean and enriched tables."""
+    return PIPELINES[name](Inputs(spark, sf_dir, binding, params or Params(), tables, raw_tables))

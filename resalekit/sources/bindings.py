@@ -15,16 +15,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from resalekit.sources.readers import read_geo_map, read_raw_entities, read_raw_events
+
 
 @dataclass(frozen=True)
 class RawTables:
     events: DataFrame      # price_history shape
     entities: DataFrame    # properties_main shape
     geo: DataFrame         # postcode_region_map shape
-    # True when the geo map's size is bounded by construction (here: 8 rows
-    # per row of the fixed 25-row nation table), so it may be broadcast
-    # without a run-time size check.
-    geo_bounded: bool = False
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,17 +53,36 @@ def geo_from_nations(nation: DataFrame, region: DataFrame) -> DataFrame:
                     F.concat(F.lit("C"), (F.col("r_regionkey") % 2).cast("string")).alias("country")))
 
 
+# Defects that the checks look for are part of the bound shapes: rows whose
+# key is divisible by these numbers have one.
+NO_DATE, NO_PRICE, NO_ENTITY, NO_EVENTS, NO_POSTCODE = 97, 89, 211, 53, 71
+
+
 def _address(key: Column, nation_idx: Column) -> Column:
-    return F.concat(
-        key.cast("string"), F.lit(" Test Road, "), F.lower(_letter(nation_idx)),
-        (key % 9 + 1).cast("string"),
+    code = F.concat(
+        F.lit(", "), F.lower(_letter(nation_idx)), (key % 9 + 1).cast("string"),
         F.when(key % 50 == 0, F.lit("")).otherwise(F.lit(" ")),
         (key % 7 + 1).cast("string"), F.lit("aa"))
+    return F.concat(key.cast("string"), F.lit(" Test Road"), F.when(key % NO_POSTCODE == 0, F.lit("")).otherwise(code))
+
+
+def _unless(defect: Column, value: Column, instead=None) -> Column:
+    return F.when(defect, F.lit(instead)).otherwise(value)
+
+
+def _event_columns(row: Column, key: Column, date: str, price: str, flag: Column) -> list[Column]:
+    """Events of entity ``key``; ``row`` numbers them for the defects."""
+    return [
+        F.when(row % NO_ENTITY == 0, -key).otherwise(key).alias("property_id"),
+        _unless(row % NO_DATE == 0, F.date_format(date, "yyyy-MM-dd")).alias("deedDate"),
+        _unless(row % NO_PRICE == 0, _money_text(F.col(price)), "POA").alias("displayPrice"),
+        flag.alias("newBuild"),
+    ]
 
 
 def _entity_columns(key: Column, nation_idx: Column, ptype: Column, balance: Column) -> list[Column]:
     return [
-        key.alias("property_id"),
+        F.when(key % NO_EVENTS == 0, -key).otherwise(key).alias("property_id"),
         _address(key, nation_idx).alias("address"),
         F.when(key % 40 == 0, F.lit(None).cast("string")).otherwise(ptype).alias("property_type"),
         F.when(key % 3 == 0, F.lit(None).cast("string"))
@@ -86,16 +103,13 @@ def bind_orders(spark: SparkSession, sf_dir: str) -> RawTables:
     orders = _read(spark, sf_dir, "orders")
     customer = _read(spark, sf_dir, "customer")
     status = F.col("o_orderstatus")
-    events = orders.select(
-        F.col("o_custkey").alias("property_id"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("deedDate"),
-        _money_text(F.col("o_totalprice")).alias("displayPrice"),
-        F.when(status == "O", True).when(status == "F", False).alias("newBuild"),
-    )
+    events = orders.select(*_event_columns(
+        F.col("o_orderkey"), F.col("o_custkey"), "o_orderdate", "o_totalprice",
+        F.when(status == "O", True).when(status == "F", False)))
     entities = customer.select(*_entity_columns(
         F.col("c_custkey"), F.col("c_nationkey"), F.col("c_mktsegment"), F.col("c_acctbal")))
     geo = geo_from_nations(_read(spark, sf_dir, "nation"), _read(spark, sf_dir, "region"))
-    return RawTables(events, entities, geo, geo_bounded=True)
+    return RawTables(events, entities, geo)
 
 
 def bind_lineitem(spark: SparkSession, sf_dir: str) -> RawTables:
@@ -104,16 +118,19 @@ def bind_lineitem(spark: SparkSession, sf_dir: str) -> RawTables:
     li = _read(spark, sf_dir, "lineitem")
     part = _read(spark, sf_dir, "part")
     flag = F.col("l_returnflag")
-    events = li.select(
-        F.col("l_partkey").alias("property_id"),
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("deedDate"),
-        _money_text(F.col("l_extendedprice")).alias("displayPrice"),
-        F.when(flag == "R", True).when(flag == "N", False).alias("newBuild"),
-    )
+    events = li.select(*_event_columns(
+        F.col("l_orderkey"), F.col("l_partkey"), "l_shipdate", "l_extendedprice",
+        F.when(flag == "R", True).when(flag == "N", False)))
     key = F.col("p_partkey")
     entities = part.select(*_entity_columns(key, key % 25, F.col("p_type"), F.col("p_retailprice")))
     geo = geo_from_nations(_read(spark, sf_dir, "nation"), _read(spark, sf_dir, "region"))
-    return RawTables(events, entities, geo, geo_bounded=True)
+    return RawTables(events, entities, geo)
+
+
+def bind_raw(spark: SparkSession, events: str, entities: str, geo: str, fmt: str = "parquet", **options) -> RawTables:
+    """Raw tables at three paths, in the documented shapes (see ``sources.readers``)."""
+    return RawTables(read_raw_events(spark, events, fmt, **options), read_raw_entities(spark, entities, fmt, **options),
+                     read_geo_map(spark, geo, fmt, **options))
 
 
 BINDINGS = {"orders": bind_orders, "lineitem": bind_lineitem}

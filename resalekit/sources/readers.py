@@ -10,11 +10,11 @@ from resalekit.sources import schemas
 
 def read_raw(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
              **options) -> DataFrame:
-    """Read one raw table. CSV gets the explicit schema (no inference pass);
-    Parquet keeps the file schema and is projected to the expected columns so
+    """Read one raw table. CSV gets the explicit schema (no inference pass), is
+    checked against the file's header, and fails on a line that does not fit; ``options`` override. Parquet keeps the file schema and is projected to the expected columns so
     column pruning still reaches the scan."""
     if fmt == "csv":
-        reader = spark.read.schema(schema).option("header", "true")
+        reader = spark.read.schema(schema).options(header="true", enforceSchema="false", mode="FAILFAST")
         for k, v in options.items():
             reader = reader.option(k, v)
         return reader.csv(path)

@@ -38,23 +38,3 @@ GEO_MAP = T.StructType([
     T.StructField("region", T.StringType(), True),
     T.StructField("country", T.StringType(), True),
 ])
-
-CLEAN_EVENTS = T.StructType([
-    T.StructField("property_id", T.LongType(), False),
-    T.StructField("sale_date", T.DateType(), False),
-    T.StructField("sale_price", MONEY, True),
-    T.StructField("new_build_at_sale", T.BooleanType(), True),
-])
-
-CLEAN_ENTITY_COLUMNS = [
-    "property_id", "address", "postcode", "postcode_area", "property_type",
-    "property_subtype", "bedrooms", "bathrooms", "tenure", "latest_price_raw",
-    "latest_sale_price", "latest_sale_date", "new_build",
-]
-
-ENRICHED_COLUMNS = [
-    "property_id", "sale_date", "sale_price", "new_build_at_sale", "address",
-    "postcode", "postcode_district", "property_type", "property_subtype",
-    "bedrooms", "bathrooms", "tenure", "property_new_build_flag",
-    "postcode_area", "postcode_area_name", "region", "country",
-]
