@@ -1,41 +1,125 @@
 """Token ids of whole texts, equal to ``Tokenizer.encode(text,
-add_special_tokens=False)``.
+add_special_tokens=False)`` of a word-level BPE tokenizer with word ends.
 
-The tokenizer neither merges nor normalizes across white space, so texts are
-cut at blanks, tabs and line ends and each distinct piece is encoded once by a
-worker, which keeps the ids of at most ``CACHE_PIECES`` short pieces."""
+Such a tokenizer cuts a normalized text into words and merges within a word only,
+so a word has the same ids wherever it stands: a worker encodes each distinct
+word once, and so each distinct piece between blanks, which is words and their
+punctuation; a text's ids are gathered from its pieces'. That is done where the
+tokenizer's normalizer does no more than lower-casing; a text with other characters, or
+with a special token, goes through the library as it is."""
 
 from __future__ import annotations
 
 import functools
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 
-CACHE_PIECES, LONGEST_KEPT = 300_000, 64
+#: Distinct words, and distinct pieces, whose ids a worker keeps; it starts anew when there are more.
+CACHE_WORDS, CACHE_PIECES = 400_000, 400_000
+WORD_END = "</w>"
 
+# The tokenizer's contractions and the blanks of its pattern.
+CONTRACTIONS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
+BLANKS = r" \t\n\x0b\x0c\r"
+#: Characters that the normalizer lower-cases one by one and leaves else.
+PLAIN = r"\x00-\x1b\x20-\x7fÀ-įı-ſ‐-‧€"
 
-@functools.lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
-    from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+@functools.lru_cache(maxsize=1)
+def _patterns() -> tuple[re.Pattern, re.Pattern]:
+    """What is not plain; the words of a lower-cased plain text: contractions, runs
+    of letters, single digits, runs of anything else but blanks."""
+    odd = re.compile(f"[^{PLAIN}]")
+    letters = "".join(c for c in map(chr, range(0x180)) if c.isalpha() and re.match(f"[{PLAIN}]", c))
+    return odd, re.compile("|".join([*CONTRACTIONS, f"[{letters}]+", "[0-9]", f"[^{BLANKS}0-9{letters}]+"]))
+
+
+class _Ids(dict):
+    """Text -> its number, by first appearance. ``new``: texts without ids yet; ids of number n: flat[start[n]:start[n + 1]]."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+        self.flat, self.start = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def __missing__(self, text: str) -> int:
+        self.new.append(text)
+        self[text] = n = len(self)
+        return n
+
+    def numbers(self, texts: Iterable[str], count: int) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, texts), np.int64, count)
+
+    def learn(self, ids: np.ndarray, ends: np.ndarray) -> None:
+        self.start = np.concatenate([self.start, ends + len(self.flat)])
+        self.flat = np.concatenate([self.flat, ids])
+        self.new = []
+
+    def gather(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these numbers one after the other, and their ends."""
+        size = self.start[n + 1] - self.start[n]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(n) else 0
+        return self.flat[np.arange(total) + np.repeat(self.start[n] - ends + size, size)], ends
+
+
+class _Encoder:
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.word_end = np.zeros(max(vocab.values()) + 1, bool)
+        self.word_end[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
+        special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special)) if special else None
+        self.words, self.pieces = _Ids(), _Ids()
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def learn(self) -> None:
+        """Ids of the new pieces. New words take one call: each ends with its only token that has a word end."""
+        if len(self.words) > CACHE_WORDS:
+            self.words = _Ids()
+        cut = list(map(_patterns()[1].findall, self.pieces.new))
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        of = self.words.numbers(chain.from_iterable(cut), int(sizes.sum()))
+        if self.words.new:
+            ids = self.ids(" ".join(self.words.new))
+            ends = np.flatnonzero(self.word_end[ids]) + 1
+            if len(ends) != len(self.words.new):
+                raise ValueError("this tokenizer has no word ends")
+            self.words.learn(ids, ends)
+        ids, ends = self.words.gather(of)
+        self.pieces.learn(ids, np.concatenate([[0], ends])[np.cumsum(sizes)])
+
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        odd, cut = _patterns()[0], []
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces = _Ids()
+        for t in texts:
+            if t and (odd.search(t) or self.special and self.special.search(t)):
+                cut.append(None)
+            else:
+                own = (t or "").lower().split()
+                cut.append(self.pieces.numbers(own, len(own)))
+        if self.pieces.new:
+            self.learn()
+        for t, n in zip(texts, cut):
+            yield self.ids(t) if n is None else self.pieces.gather(n)[0]
+
+
+@functools.lru_cache(maxsize=4)
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
 
 
 def encode(texts: list[str | None], path: str) -> Iterator[np.ndarray]:
     """The ids (uint32) of each text; null and empty texts have none."""
-    tok, kept = _tokenizer(path)
-    cut = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-    new = list(set().union(*cut).difference(kept)) if cut else []
-    if len(kept) + len(new) > CACHE_PIECES:
-        kept.clear()
-        new = list(set().union(*cut))
-    ids = {p: e.ids for p, e in zip(new, tok.encode_batch(new, add_special_tokens=False))}
-    kept.update((p, i) for p, i in ids.items() if len(p) <= LONGEST_KEPT)
-    get = kept.__getitem__ if all(len(p) <= LONGEST_KEPT for p in new) else lambda p: ids[p] if p in ids else kept[p]
-    for pieces in cut:
-        found = list(map(get, pieces))
-        yield np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))
+    return _encoder(path).encode(texts)
