@@ -3,6 +3,7 @@ folder, size-checked broadcasts, word hashing and Arrow batch slicing."""
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,16 +11,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when a bounded count finds at most so many rows.
 BROADCAST_ROWS = 500_000
 #: Text handled at once inside a task.
-SLICE_BYTES = 4 << 20
-#: Distinct words whose hash a worker keeps.
-CACHE_WORDS = 400_000
+SLICE_BYTES = 1 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -66,19 +64,6 @@ def lower_ascii(c):
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, up, up.lower()))
 
 
-class WordHashes(dict):
-    """word bytes -> 64-bit hash, of at most ``CACHE_WORDS`` words."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < CACHE_WORDS:
-            self[word] = h
-        return h
-
-
-WORD_HASHES = WordHashes()
-
-
 def mix(a: np.ndarray) -> np.ndarray:
     """A finalizer: every input bit reaches every output bit."""
     a = (a ^ (a >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -86,23 +71,100 @@ def mix(a: np.ndarray) -> np.ndarray:
     return a ^ (a >> np.uint64(31))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """Hashes of the words (runs of anything but ASCII white space) of a text
-    whose A-Z are lower-cased."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else ()
-    return np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
-
-
-def shingles(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the k-word shingles in order; fewer words are one shingle."""
-    if not len(words):
-        return words
-    k = min(k, len(words))
-    p, n = np.uint64(0x9E3779B97F4A7C15), len(words) - k + 1
-    a = np.full(n, k, np.uint64)
+#: A fixed random number for each byte, A-Z as a-z; an odd multiplier and its inverse modulo 2**64.
+_BYTE = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+_P = 0x9E3779B97F4A7C15
+_INVERSE = np.uint64(pow(_P, -1, 1 << 64))
+
+
+@functools.lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, ..., n - 1, modulo 2**64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after the other, and the
+    number of words before each text and in all. A word is a run of other bytes than ASCII white space;
+    A-Z are as a-z. Null is as empty.
+
+    A word's hash is the polynomial of its bytes' random numbers, from one running
+    sum over the bytes, so there is no work per word outside numpy. It takes
+    ``SLICE_BYTES`` and the end of a word at a time, so long texts need no more memory."""
+    texts = texts.cast(pa.large_binary())
+    if texts.null_count:
+        texts = texts.fill_null(b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    first, size = int(offsets[0]), int(offsets[-1] - offsets[0])
+    if not size:
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    data, ends = np.frombuffer(texts.buffers()[2], np.uint8)[first:first + size], offsets - first
+    hashes, starts, a = [], [], 0
+    while a < size:
+        b = min(a + SLICE_BYTES, size)
+        while b < size and not _BLANK[data[b]]:  # no word is cut
+            more = _BLANK[data[b:b + 1024]]
+            b += int(more.argmax()) if more.any() else len(more)
+        own = ends[np.searchsorted(ends, a):np.searchsorted(ends, b, side="right")] - a
+        h, start = _hashes(data[a:b], own)
+        hashes.append(h)
+        starts.append(start + a)
+        a = b
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), ends).astype(np.int64)
+
+
+def _hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the words in these bytes, which ``cuts`` part too."""
+    size = len(data)
+    word = np.zeros(size + 1, bool)
+    word[:-1] = ~_BLANK[data]
+    cut = np.zeros(size + 1, bool)
+    cut[cuts] = True
+    before = np.concatenate([[False], word[:-1]])
+    start, end = (np.flatnonzero(x) for x in (word & (~before | cut), before & (~word | cut)))
+    n = 1 << max(16, (size - 1).bit_length())
+    sums = np.zeros(size + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _powers(_P, n)[:size], out=sums[1:])
+    h = (sums[end] - sums[start]) * _powers(int(_INVERSE), n)[start] + (end - start).astype(np.uint64)
+    return mix(h), start
+
+
+def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the k-word shingles of all texts, in order, and the number of
+    shingles before each text and in all. Fewer words, but not none, are one shingle."""
+    words, at = word_hashes(texts)
+    n = np.diff(at)
+    a = np.full(max(0, len(words) - k + 1), k, np.uint64)
     for i in range(k):
-        a = (a + words[i:i + n]) * p
-    return mix(a)
+        a = (a + words[i:i + len(a)]) * np.uint64(_P)
+    inside = np.ones(len(a), bool)
+    for back in range(1, k):  # shingles that would run into the next text
+        i = at[1:] - back
+        inside[i[(i >= 0) & (i < len(a))]] = False
+    a = mix(a)[inside]
+    counts = np.maximum(n - k + 1, 0)
+    short = np.flatnonzero((n > 0) & (n < k))
+    if len(short):
+        ends = np.cumsum(counts)
+        own = []
+        for t in short.tolist():
+            x = n[t:t + 1].astype(np.uint64)
+            for i in range(at[t], at[t + 1]):
+                x = (x + words[i:i + 1]) * np.uint64(_P)
+            own.append(x)
+        a = np.insert(a, ends[short] - counts[short], mix(np.concatenate(own)))
+        counts[short] = 1
+    return a, np.concatenate([[0], np.cumsum(counts)])
+
+
+def pieces(values: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The values of each text."""
+    ends = at.tolist()
+    return [values[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, shingles, slices, stage, word_hashes
+from .common import broadcast_if_small, pieces, shingles, slices, stage
 from .graph import components
 
 SHINGLE, PERCENT = 4, 85
@@ -30,9 +30,9 @@ SLOT_BITS, FRAGMENTS, PARITY = 18, 8, 512
 KEY = "xxhash64(doc_id, text)"
 
 
-def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    return np.unique(shingles(word_hashes(text), k))
+def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    return [np.unique(s) for s in pieces(*shingles(texts, k))]
 
 
 def _slot(s: np.ndarray) -> np.ndarray:
@@ -47,8 +47,7 @@ def slot_counts(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
         counts = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
             for part in slices(batch):
-                sets = [shingle_set(t, k) for t in part.column("text").to_pylist()]
-                counts += np.bincount(_slot(np.concatenate(sets)), minlength=len(counts))
+                counts += np.bincount(_slot(np.concatenate(shingle_sets(part.column("text"), k))), minlength=len(counts))
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["slot", "n"])
 
@@ -80,8 +79,7 @@ def _sets(docs: DataFrame, rank, k: int, percent: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 ns, sids, bits, toks = [], [], [], []
-                for t in part.column("text").to_pylist():
-                    s = shingle_set(t, k)
+                for s in shingle_sets(part.column("text"), k):
                     n = len(s)
                     ns.append(n)
                     sids.append(xxhash.xxh64_intdigest(s.tobytes(), n) - (1 << 63) if n else 0)
@@ -124,8 +122,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, cut, k: int, pe
         for batch in batches:
             for part in slices(batch):
                 sids, fs, arrays = [], [], []
-                for sid, t in zip(part.column("sid").to_pylist(), part.column("text").to_pylist()):
-                    s = shingle_set(t, k)
+                for sid, s in zip(part.column("sid").to_pylist(), shingle_sets(part.column("text"), k)):
                     of = fragment[_slot(s)]
                     for f in np.unique(of).tolist():
                         sids.append(sid)
