@@ -28,9 +28,9 @@ def two_sided_dense(df: DataFrame, metric: str, n: int = 10, *,
     Rows with a NULL metric are not ranked."""
     ranked_rows = df.where(F.col(metric).isNotNull())
     values = ranked_rows.select(metric).distinct()
-    hi = _rank_end(values, metric, n, True, "_win")
-    lo = _rank_end(values, metric, n, False, "_lose")
-    ranks = hi.join(lo, metric, "full")
+    ranks = _rank_end(values, metric, n, True, "_win").join(_rank_end(values, metric, n, False, "_lose"), metric, "full")
+    # <= 2 n rows, fetched first: both ends share the distinct values' exchange, and the rows are read once more only
+    ranks = df.sparkSession.createDataFrame(ranks.collect(), ranks.schema)
     out = ranked_rows.join(F.broadcast(ranks), metric)
     win, lose = labels
     bucket = F.when(F.col("_win").isNotNull(), F.lit(win)).otherwise(F.lit(lose))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from resalekit.functions.median import group_median, order_bucket, stacked_medians
+from resalekit.functions.median import group_median, group_medians, order_bucket
 from resalekit.functions.numeric import (days_between, parse_date, parse_money, pct_change,
                                          round_half_up, safe_div, years_between)
 from resalekit.functions.text import (extract_postcode, label_or_unknown, map_labels,
@@ -58,6 +58,25 @@ def test_parse_date_formats(spark):
         df.select(parse_date("s")).collect()
 
 
+@pytest.mark.parametrize("formats", [None, ["yyyy-MM-dd"]])
+def test_parse_date_strict_raises_with_and_without_formats(spark, formats):
+    df = spark.createDataFrame([("03/01/1995",), (None,)], "s string")
+    with pytest.raises(Exception, match="not a date"):
+        df.select(parse_date("s", formats)).collect()
+    assert [r[0] for r in df.select(parse_date("s", formats, "null")).collect()] == [None, None]
+
+
+def test_strict_parsing_does_not_depend_on_ansi(spark):
+    df = spark.createDataFrame([("1.2.3", "x")], "m string, d string")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        for c in (parse_money("m"), parse_date("d")):
+            with pytest.raises(Exception):
+                df.select(c).collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
 def test_postcode_extraction_and_district(spark):
     df = spark.createDataFrame([("1 High St, London sw7 1rh",), ("x SW71RH",), ("no postcode",)], "a string")
     rows = df.select(extract_postcode("a").alias("p")).select("p", outward_code("p").alias("d")).collect()
@@ -126,12 +145,30 @@ def test_group_median_one_hot_group_with_ties(spark):
     assert out["hot"] == expect and out["small"] == 2.5
 
 
-def test_stacked_medians_overlapping_subsets(spark):
-    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "v double")
-    out = {r._subset: r.m for r in stacked_medians(
-        df.withColumn("g", F.lit("x")), ["g"], "v",
-        {"le3": F.col("v") <= 3, "all": F.lit(True)}, "m").collect()}
-    assert out == {"le3": 2.0, "all": 2.5}
+def test_group_medians_of_overlapping_subsets(spark):
+    df = spark.createDataFrame([("x", 1.0), ("x", 2.0), ("x", 3.0), ("x", 10.0), ("y", 4.0), (None, None)], "g string, v double")
+    out = {r.g: r for r in group_medians(df, ["g"], "v", {"le3": F.col("v") <= 3, "all": None}).collect()}
+    assert (out["x"].le3, out["x"].le3_count, out["x"].all, out["x"].all_count) == (2.0, 3, 2.5, 4)
+    assert (out["y"].le3, out["y"].le3_count, out["y"].all) == (None, 0, 4.0)
+    assert (out[None].all, out[None].all_count) == (None, 1)
+
+
+@pytest.mark.parametrize("finer", [True, False])
+def test_group_median_with_all_values_in_one_band(spark, finer):
+    """A third of the rows in one group, all its values in one bucket."""
+    vals = [1_700_000_000.0 + (i * 7919) % 5000 for i in range(6001)]
+    df = spark.createDataFrame([("hot", v) for v in vals] + [(f"g{i}", float(i)) for i in range(9000)], "g string, v double")
+    out = {r.g: r.m for r in group_median(df, ["g"], "v", "m", finer=finer).collect()}
+    assert out["hot"] == sorted(vals)[3000] and out["g77"] == 77.0 and len(out) == 9001
+
+
+def test_group_median_reads_its_source_twice_at_most(spark, tmp_path):
+    path = str(tmp_path / "v")
+    spark.range(5000).selectExpr("id % 3 AS g", "cast(id AS double) * 1.37 AS v", "id AS unused").write.parquet(path)
+    out = group_median(spark.read.parquet(path), ["g"], "v", "m")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("Scan parquet") <= 1  # the first pass has run
+    assert "unused" not in plan
 
 
 def test_group_median_empty_by(spark):
