@@ -87,6 +87,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     Two passes over the texts: the first emits kept hashes and joins them with
     the items'; the second extends the hits, joined to the texts by broadcast
     only behind a size check. Null or empty text, or no items: nothing is hit.
+    An item with a null id hits like any other and is not listed.
     Rows that share a doc_id, also null, are judged each by its own text.
     Other columns are not read; no rows: no rows."""
     own = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]  # no name of theirs meets one of ours

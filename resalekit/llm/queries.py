@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, language, ngram_join, packing, quality_ledger, substring, token_files, toxicity, url_model, warc
+from .oracle import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,5 +81,3 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring, op3_warc, op4_ngram_join, op5_language, op6_token_files, op7_url_model, op8_quality_ledger, op9_packing,
                                    op10_toxicity)}
-
-ORACLE_SQL: dict[str, str] = {}
