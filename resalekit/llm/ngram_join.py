@@ -70,32 +70,36 @@ def order_and_fragments(counts: np.ndarray, fragments: int = FRAGMENTS) -> tuple
     return rank, cut
 
 
-def _sets(docs: DataFrame, rank, k: int, percent: int) -> DataFrame:
+def _sets(docs: DataFrame, rank, cut, k: int, percent: int) -> DataFrame:
     """A row per row of docs: doc_id, key, n, sid (of the set), bits (parities of
-    the set's hashes by slot of ``PARITY``), tokens (its prefix, rarest first)."""
+    the set's hashes by slot of ``PARITY``), sizes (of its fragments), tokens (its
+    prefix, rarest first)."""
 
     def run(batches):
-        order = rank.value
+        order, fragment = rank.value, cut.value
         for batch in batches:
             for part in slices(batch):
-                ns, sids, bits, toks = [], [], [], []
+                ns, sids, bits, sizes, toks = [], [], [], [], []
                 for s in shingle_sets(part.column("text"), k):
                     n = len(s)
                     ns.append(n)
                     sids.append(xxhash.xxh64_intdigest(s.tobytes(), n) - (1 << 63) if n else 0)
                     odd = np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
                     bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                    sizes.append(np.bincount(fragment[_slot(s)], minlength=FRAGMENTS))
                     first = n + (-percent * n // 100) + 1 if n else 0
                     toks.append(s[np.argsort(order[_slot(s)], kind="stable")[:first]].view(np.int64))
                 ends = np.cumsum([0, *map(len, toks)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), part.column("key"), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()),
                     pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(bits)), PARITY // 64).cast(pa.list_(pa.int64())),
+                    pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(sizes)), FRAGMENTS).cast(pa.list_(pa.int64())),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(toks)))],
-                    ["doc_id", "key", "n", "sid", "bits", "tokens"])
+                    ["doc_id", "key", "n", "sid", "bits", "sizes", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.expr(KEY).alias("key"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, key bigint, n bigint, sid bigint, bits array<bigint>, tokens array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, key bigint, n bigint, sid bigint, bits array<bigint>, sizes array<bigint>, "
+                           "tokens array<bigint>")
 
 
 def _need(a: Column, b: Column, percent: int) -> Column:
@@ -110,12 +114,32 @@ def _fits(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (most >= _need(na, nb, percent))
 
 
+def _apart() -> Column:
+    """At most the shingles that only one of x and y has: parities that differ."""
+    return F.expr("aggregate(zip_with(x.bits, y.bits, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)")
+
+
+def _differ(percent: int) -> Column:
+    """Shingles that only one of x and y may have if they link."""
+    na, nb = F.col("x.n"), F.col("y.n")
+    return na + nb - 2 * _need(na, nb, percent)
+
+
+def _overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b, o): overlaps of the fragments in ``parts``, counted for each and summed per pair."""
+    both = pairs.select("a", "b").join(parts.toDF("a", "f", "of_a"), "a").join(parts.toDF("b", "f", "of_b"), ["b", "f"])
+    both = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("o"))
+    return both.groupBy("a", "b").agg(F.sum("o").alias("o"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, cut, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b, of set ids) that link: overlaps are counted fragment by fragment, then summed.
+    """The pairs (a, b, of set ids) that link. The first fragment's overlaps are counted
+    first; with the sizes of the others they bound the whole overlap, and only
+    pairs that may still link have their other fragments counted.
 
     Only texts of documents that stand for a set in ``pairs`` are read again."""
     ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "pair-sets")
-    wanted = stage(sets.join(broadcast_if_small(ids), "sid", "left_semi").select("key", "sid", "n"), "pair-keys")
+    wanted = stage(sets.join(broadcast_if_small(ids), "sid", "left_semi").select("key", "sid", "n", "sizes"), "pair-keys")
 
     def run(batches):
         fragment = cut.value
@@ -135,12 +159,16 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, cut, k: int, pe
 
     texts = docs.select(F.expr(KEY).alias("key"), "text").join(broadcast_if_small(wanted.select("key", "sid")), "key")
     parts = stage(texts.select("sid", "text").mapInArrow(run, "sid bigint, f int, part array<bigint>"), "fragments")
-    both = pairs.join(parts.toDF("a", "f", "of_a"), "a").join(parts.toDF("b", "f", "of_b"), ["b", "f"])
-    both = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("o"))
-    sums = both.groupBy("a", "b").agg(F.sum("o").alias("o"))
-    n = broadcast_if_small(wanted.select("sid", "n"))
-    sums = sums.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
-    return sums.filter(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
+    info = broadcast_if_small(wanted.select("sid", "n", "sizes"))
+    sized = pairs.join(info.toDF("a", "na", "sa"), "a").join(info.toDF("b", "nb", "sb"), "b")
+    sized = sized.withColumn("need", _need(F.col("na"), F.col("nb"), percent))
+    most = F.expr("aggregate(slice(zip_with(sa, sb, (p, q) -> least(p, q)), 2, size(sa)), 0L, (s, v) -> s + v)")
+    sized = sized.join(_overlaps(pairs, parts.filter("f = 0")), ["a", "b"], "left").withColumn("o", F.coalesce("o", F.lit(0)))
+    left = stage(sized.filter(F.col("o") + most >= F.col("need")).select("a", "b", "need", "o"), "pairs-left")
+    more = stage(left.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "pair-sets")
+    others = parts.filter("f > 0").join(broadcast_if_small(more), "sid", "left_semi")
+    rest = _overlaps(left, others).withColumnRenamed("o", "others")
+    return left.join(rest, ["a", "b"], "left").filter(F.col("o") + F.coalesce("others", F.lit(0)) >= F.col("need")).select("a", "b")
 
 
 def join_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -156,8 +184,8 @@ def join_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     counts = slot_counts(docs, k)
     sc = docs.sparkSession.sparkContext
     rank, cut = (sc.broadcast(x) for x in order_and_fragments(counts))
-    rows = stage(_sets(docs, rank, k, percent), "shingle-sets")
-    sets = stage(rows.filter("n > 0").groupBy("sid").agg(F.first(F.struct("key", "n", "bits", "tokens")).alias("x")).select(
+    rows = stage(_sets(docs, rank, cut, k, percent), "shingle-sets")
+    sets = stage(rows.filter("n > 0").groupBy("sid").agg(F.first(F.struct("key", "n", "bits", "sizes", "tokens")).alias("x")).select(
         "sid", "x.*"), "distinct-sets")
     prefix = sets.select("sid", "n", F.posexplode("tokens").alias("pos", "token"))
     shared = stage(prefix.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "shared-tokens")
@@ -167,7 +195,10 @@ def join_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     first = met.groupBy("token").agg(F.min(F.struct("pos", "sid", "n")).alias("r")).select("token", "r.*")
     star = met.alias("x").join(first.alias("y"), "token").filter((F.col("x.sid") != F.col("y.sid")) & _fits("x", "y", percent))
     star = star.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count("*").alias("c"))
-    star = stage(star.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")), "star-pairs")
+    star = star.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+    x, y = (sets.select(F.col("sid").alias(c), "n", "bits").alias(t) for c, t in (("a", "x"), ("b", "y")))
+    star = star.join(x, "a").join(y, "b").filter(_apart() <= _differ(percent)).select("a", "b")
+    star = stage(star, "star-pairs")
     links = stage(verified(star, docs, sets, cut, k, percent), "star-links")
     label = components(links)
 
@@ -179,11 +210,9 @@ def join_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     at = at.join(per, "token").join(sets.select("sid", "bits"), "sid")
     at = stage(at, "mixed-buckets")
     x, y = at.filter("comp <> main").alias("x"), at.alias("y")
-    apart = F.expr("aggregate(zip_with(x.bits, y.bits, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)")
-    differ = F.col("x.n") + F.col("y.n") - 2 * _need(F.col("x.n"), F.col("y.n"), percent)
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp"))
                   & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.sid") < F.col("y.sid"))) & _fits("x", "y", percent))
-    rest = rest.filter(apart <= differ).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
+    rest = rest.filter(_apart() <= _differ(percent)).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
     more = verified(stage(rest.distinct(), "rest-pairs"), docs, sets, cut, k, percent)
     label = components(links.unionByName(more))
 
