@@ -103,22 +103,25 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not size:
         return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     data, ends = np.frombuffer(texts.buffers()[2], np.uint8)[first:first + size], offsets - first
-    hashes, starts, a = [], [], 0
-    while a < size:
-        b = min(a + SLICE_BYTES, size)
-        while b < size and not _BLANK[data[b]]:  # no word is cut
+    hashes, starts, _ = hash_words(data, ends)
+    return hashes, np.searchsorted(starts, ends).astype(np.int64)
+
+
+def hash_words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words in these bytes, which ``ends`` part too."""
+    found, a = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))], 0
+    while a < len(data):
+        b = min(a + SLICE_BYTES - 4096, len(data))  # so that the end of a word fits the tables
+        while b < len(data) and not _BLANK[data[b]]:  # no word is cut
             more = _BLANK[data[b:b + 1024]]
             b += int(more.argmax()) if more.any() else len(more)
-        own = ends[np.searchsorted(ends, a):np.searchsorted(ends, b, side="right")] - a
-        h, start = _hashes(data[a:b], own)
-        hashes.append(h)
-        starts.append(start + a)
+        h, start, end = _hashes(data[a:b], ends[np.searchsorted(ends, a):np.searchsorted(ends, b, side="right")] - a)
+        found.append((h, start + a, end + a))
         a = b
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), ends).astype(np.int64)
+    return tuple(map(np.concatenate, zip(*found)))
 
 
-def _hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the words in these bytes, which ``cuts`` part too."""
+def _hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = len(data)
     word = np.zeros(size + 1, bool)
     word[:-1] = ~_BLANK[data]
@@ -130,7 +133,7 @@ def _hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     sums = np.zeros(size + 1, np.uint64)
     np.cumsum(_BYTE[data] * _powers(_P, n)[:size], out=sums[1:])
     h = (sums[end] - sums[start]) * _powers(int(_INVERSE), n)[start] + (end - start).astype(np.uint64)
-    return mix(h), start
+    return mix(h), start, end
 
 
 def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:

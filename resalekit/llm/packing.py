@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .tokens import encode
+from .tokens import ENCODE_BYTES, encode, forget
 
 LONGEST, SHORTEST = 4096, 256
 #: Ids that are packed together; a task holds them once.
@@ -156,12 +156,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: in
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=ENCODE_BYTES):
                 for key, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist(), tokenizer)):
                     held.append((key, np.append(ids, np.uint32(end_id)).astype("<u4")))
                     size += len(ids) + 1
                     if size >= block_ids:
                         yield from flush()
+        forget(tokenizer)
         if held:
             yield from flush()
 

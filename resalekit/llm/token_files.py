@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, shared_path, slices
-from .tokens import encode
+from .tokens import ENCODE_BYTES, encode, forget
 
 MAGIC, SEPARATOR = b"BPS1", "\n"
 BLOCK = 1 << 16
@@ -79,7 +79,7 @@ def _file(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, block:
         return data
 
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=ENCODE_BYTES):
             keys, held = part.column("doc_id").to_pylist(), [rest]
             for key, ids in zip(keys, encode(part.column("text").to_pylist(), tokenizer)):
                 docs.append((key is not None, key or 0, len(ids) + 1))
@@ -88,6 +88,7 @@ def _file(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, block:
             for at in range(0, len(rest) - block + 1, block):
                 yield chunk(rest[at:at + block])
             rest = rest[len(rest) // block * block:]
+    forget(tokenizer)
     if not docs:
         return
     if len(rest):
@@ -170,10 +171,9 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = True) -> DataFr
 
     kinds = "path string, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * ids
     # one row per file: few, however many documents there are
+    found = [tuple(r) for r in files.select("path", "content").mapInArrow(totals, "path string, first bigint, n bigint").toLocalIterator()]
     before, by_file = 0, []
-    for path_, n in ((r["path"], r["n"]) for r in files.select("path", "content")
-                     .mapInArrow(totals, "path string, first bigint, n bigint")
-                     .orderBy(F.col("first").asc_nulls_first(), "path").toLocalIterator()):
+    for path_, _, n in sorted(found, key=lambda r: (r[1] is not None, r[1] or 0, r[0])):
         by_file.append((path_, before))
         before += n
     base = broadcast_if_small(spark.createDataFrame(by_file, "path string, base bigint"))

@@ -4,7 +4,8 @@ add_special_tokens=False)`` of a word-level BPE tokenizer with word ends.
 Such a tokenizer cuts a normalized text into words and merges within a word only,
 so a word has the same ids wherever it stands: a worker encodes each distinct
 word once, and so each distinct piece between blanks, which is words and their
-punctuation; a text's ids are gathered from its pieces'. That is done where the
+punctuation; a text's ids are gathered from its pieces', which are told apart by
+64-bit hashes. That is done where the
 tokenizer's normalizer does no more than lower-casing; a text with other characters, or
 with a special token, goes through the library as it is."""
 
@@ -18,8 +19,12 @@ from itertools import chain
 
 import numpy as np
 
-#: Distinct words, and distinct pieces, whose ids a worker keeps; it starts anew when there are more.
-CACHE_WORDS, CACHE_PIECES = 400_000, 400_000
+from .common import hash_words
+
+#: Distinct words, and distinct pieces, whose ids a task keeps; it starts anew when there are more.
+CACHE_WORDS, CACHE_PIECES = 400_000, 500_000
+#: Text that is encoded at once.
+ENCODE_BYTES = 2 << 20
 WORD_END = "</w>"
 
 # The tokenizer's contractions and the blanks of its pattern.
@@ -67,52 +72,84 @@ class _Ids(dict):
         return self.flat[np.arange(total) + np.repeat(self.start[n] - ends + size, size)], ends
 
 
+class _Pieces:
+    """Ids of the known pieces by their hashes, which are sorted: ``number`` tells
+    where ``flat[start[n]:start[n + 1]]`` are the ids."""
+
+    def __init__(self):
+        self.hashes, self.number = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.ids = _Ids()
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each hash, and whether it is known."""
+        at = np.searchsorted(self.hashes, hashes)
+        return at, self.hashes[np.minimum(at, len(self) - 1)] == hashes if len(self) else np.zeros(len(hashes), bool)
+
+    def add(self, hashes: np.ndarray, at: np.ndarray) -> None:
+        self.number = np.insert(self.number, at, np.arange(len(self), len(self) + len(hashes)))
+        self.hashes = np.insert(self.hashes, at, hashes)
+
+
 class _Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        # the same merges for words that are cut and lower-cased already
+        self.by_word = Tokenizer.from_file(path)
+        self.by_word.normalizer = normalizers.Sequence([])
+        self.by_word.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.word_end = np.zeros(max(vocab.values()) + 1, bool)
         self.word_end[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
         special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special)) if special else None
-        self.words, self.pieces = _Ids(), _Ids()
+        self.words, self.pieces = _Ids(), _Pieces()
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+    def ids(self, text: str, tok=None) -> np.ndarray:
+        return np.array((tok or self.tok).encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def learn(self) -> None:
-        """Ids of the new pieces. New words take one call: each ends with its only token that has a word end."""
+    def learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces. New words take one call: each ends with its only token that has a word end."""
         if len(self.words) > CACHE_WORDS:
             self.words = _Ids()
-        cut = list(map(_patterns()[1].findall, self.pieces.new))
+        cut = list(map(_patterns()[1].findall, pieces))
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
         of = self.words.numbers(chain.from_iterable(cut), int(sizes.sum()))
         if self.words.new:
-            ids = self.ids(" ".join(self.words.new))
+            ids = self.ids(" ".join(self.words.new), self.by_word)
             ends = np.flatnonzero(self.word_end[ids]) + 1
             if len(ends) != len(self.words.new):
                 raise ValueError("this tokenizer has no word ends")
             self.words.learn(ids, ends)
         ids, ends = self.words.gather(of)
-        self.pieces.learn(ids, np.concatenate([[0], ends])[np.cumsum(sizes)])
+        self.pieces.ids.learn(ids, np.concatenate([[0], ends])[np.cumsum(sizes)])
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        odd, cut = _patterns()[0], []
+        odd = _patterns()[0]
+        strange = [bool(t) and bool(odd.search(t) or self.special and self.special.search(t)) for t in texts]
+        plain = [b"" if x or not t else t.lower().encode() for t, x in zip(texts, strange)]
+        data, sizes = b"\n".join(plain), np.fromiter(map(len, plain), np.int64, len(plain))
+        hashes, starts, ends = hash_words(np.frombuffer(data, np.uint8), np.empty(0, np.int64))
         if len(self.pieces) > CACHE_PIECES:
-            self.pieces = _Ids()
-        for t in texts:
-            if t and (odd.search(t) or self.special and self.special.search(t)):
-                cut.append(None)
-            else:
-                own = (t or "").lower().split()
-                cut.append(self.pieces.numbers(own, len(own)))
-        if self.pieces.new:
-            self.learn()
-        for t, n in zip(texts, cut):
-            yield self.ids(t) if n is None else self.pieces.gather(n)[0]
+            self.pieces = _Pieces()
+        # each distinct piece of these texts is looked up once
+        distinct, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+        at, known = self.pieces.find(distinct)
+        if not known.all():
+            new = first[~known]
+            self.learn([data[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())])
+            self.pieces.add(distinct[~known], at[~known])
+            at = np.searchsorted(self.pieces.hashes, distinct)
+        numbers = self.pieces.number[at][of]
+        cuts = np.searchsorted(starts, np.cumsum(sizes + 1))
+        for t, x, a, b in zip(texts, strange, [0, *cuts.tolist()], cuts.tolist()):
+            yield self.ids(t) if x else self.pieces.ids.gather(numbers[a:b])[0]
 
 
 @functools.lru_cache(maxsize=4)
@@ -123,3 +160,9 @@ def _encoder(path: str) -> _Encoder:
 def encode(texts: list[str | None], path: str) -> Iterator[np.ndarray]:
     """The ids (uint32) of each text; null and empty texts have none."""
     return _encoder(path).encode(texts)
+
+
+def forget(path: str) -> None:
+    """Free the ids that were kept, at the end of a task: other tasks of the worker need the memory."""
+    encoder = _encoder(path)
+    encoder.words, encoder.pieces = _Ids(), _Pieces()
