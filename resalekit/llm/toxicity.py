@@ -21,12 +21,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, stage
 
 WORD, INSULT, THREAT, TARGET, NOT, SAID, MATCH = "WORD", "INSULT", "THREAT", "TARGET", "NOT", "SAID", "MATCH"
 #: Labelled rows to learn from at most; stems kept at most; stem lengths.
 TRAIN_ROWS, STEMS, LENGTHS = 10_000, 2000, (3, 12)
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 #: The highest score without a matched clause.
 NO_MATCH = 0.49
 
@@ -100,7 +100,7 @@ class Pieces(dict):
 
     def __init__(self, stems: dict[str, float]):
         super().__init__()
-        self.stems, self.hits = stems, set()
+        self.stems, self.hits, self.same = stems, set(), {}
         self.fixed = {w: s for s, words in ((THREAT, THREATS), (TARGET, TARGETS), (NOT, NEGATIONS), (SAID, REPORTS)) for w in words}
 
     def stem(self, word: str) -> float:
@@ -117,9 +117,10 @@ class Pieces(dict):
         out += [None] * bool(CLAUSE_END.search(low, at))
         if any(x and x[0] in (INSULT, THREAT) for x in out):
             self.hits.add(piece)
+        symbols = tuple(out)
         if len(self) < CACHE_PIECES:
-            self[piece] = tuple(out)
-        return tuple(out)
+            symbols = self[piece] = self.same.setdefault(symbols, symbols)  # nearly all pieces have the same few
+        return symbols
 
 
 def clauses(text: str | None, pieces: Pieces) -> Iterator[float]:
@@ -194,6 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, most: int = TRAI
     ids = labels.filter(training & F.col("toxic").isin(0, 1)).select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     ids = ids.orderBy(F.xxhash64(F.lit(10), "doc_id"), "doc_id").limit(most).dropDuplicates(["doc_id"])
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")  # ``most`` ids
+    rows = stage(rows, "labelled-texts")
 
     def prefixes(text):
         words = set(WORDS.findall((text or "").lower()))
