@@ -14,6 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Arrow's own allocator keeps freed batches; the system's gives them back, so that a
+# worker holds no more than what it works on.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: A side is broadcast only when a bounded count finds at most so many rows.
 BROADCAST_ROWS = 500_000
 #: Text handled at once inside a task.
