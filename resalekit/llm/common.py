@@ -3,6 +3,7 @@ folder, size-checked broadcasts, word hashing and Arrow batch slicing."""
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -18,6 +19,24 @@ from pyspark.sql import functions as F
 # worker holds no more than what it works on.
 pa.set_memory_pool(pa.system_memory_pool())
 
+
+
+@functools.lru_cache(maxsize=1)
+def _libc():
+    """The C library, told to map large arrays one by one, if it can; else None."""
+    libc = ctypes.CDLL(None)
+    if not hasattr(libc, "malloc_trim"):
+        return None
+    libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: freed arrays of 1 MB go back at once
+    return libc
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: a worker that waits should hold little."""
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
 #: A side is broadcast only when a bounded count finds at most so many rows.
 BROADCAST_ROWS = 500_000
 #: Text handled at once inside a task.
@@ -183,6 +202,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         end = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
         yield batch.slice(start, end - start)
         start = end
+    give_back()
 
 
 def run_ends(lengths) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ from itertools import chain
 
 import numpy as np
 
-from .common import hash_words
+from .common import give_back, hash_words
 
 #: Distinct words, and distinct pieces, whose ids a task keeps; it starts anew when there are more.
 CACHE_WORDS, CACHE_PIECES = 400_000, 500_000
@@ -166,3 +166,4 @@ def forget(path: str) -> None:
     """Free the ids that were kept, at the end of a task: other tasks of the worker need the memory."""
     encoder = _encoder(path)
     encoder.words, encoder.pieces = _Ids(), _Pieces()
+    give_back()

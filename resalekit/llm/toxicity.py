@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage
+from .common import give_back, slices, stage
 
 WORD, INSULT, THREAT, TARGET, NOT, SAID, MATCH = "WORD", "INSULT", "THREAT", "TARGET", "NOT", "SAID", "MATCH"
 #: Labelled rows to learn from at most; stems kept at most; stem lengths.
@@ -257,6 +257,8 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
                 p = np.where(f[:, 0] > 0, p, np.minimum(p, NO_MATCH))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in cols], pa.array(p), pa.array(np.rint(np.expm1(f[:, 0])).astype(np.int64))],
                                                  [*cols, "score", "n_clauses"])
+        pieces.clear()
+        give_back()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*cols).schema.fields)
     return docs.mapInArrow(run, f"{kinds}, score double, n_clauses bigint")
