@@ -28,7 +28,7 @@ from .tokens import ENCODE_BYTES, encode, forget
 
 LONGEST, SHORTEST = 4096, 256
 #: Ids that are packed together; a task holds them once.
-BLOCK_IDS = 4 << 20
+BLOCK_IDS = 2 << 20
 GROUP = 8
 
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "

@@ -22,9 +22,9 @@ import numpy as np
 from .common import give_back, hash_words
 
 #: Distinct words, and distinct pieces, whose ids a task keeps; it starts anew when there are more.
-CACHE_WORDS, CACHE_PIECES = 400_000, 500_000
+CACHE_WORDS, CACHE_PIECES = 250_000, 300_000
 #: Text that is encoded at once.
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 1 << 20
 WORD_END = "</w>"
 
 # The tokenizer's contractions and the blanks of its pattern.
