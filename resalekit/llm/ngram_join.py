@@ -132,12 +132,13 @@ def _overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.sum("o").alias("o"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, cut, k: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, repeated: DataFrame, cut, k: int, percent: int) -> DataFrame:
     """The pairs (a, b, of set ids) that link. The first fragment's overlaps are counted
     first; with the sizes of the others they bound the whole overlap, and only
     pairs that may still link have their other fragments counted.
 
-    Only texts of documents that stand for a set in ``pairs`` are read again."""
+    Only texts of documents that stand for a set in ``pairs`` are read again. Where
+    such a row occurs several times (``repeated``: the sids), its fragments count once."""
     ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "pair-sets")
     wanted = stage(sets.join(broadcast_if_small(ids), "sid", "left_semi").select("key", "sid", "n", "sizes"), "pair-keys")
 
@@ -159,6 +160,10 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, cut, k: int, pe
 
     texts = docs.select(F.expr(KEY).alias("key"), "text").join(broadcast_if_small(wanted.select("key", "sid")), "key")
     parts = stage(texts.select("sid", "text").mapInArrow(run, "sid bigint, f int, part array<bigint>"), "fragments")
+    again = stage(repeated.join(broadcast_if_small(ids), "sid", "left_semi"), "repeated-sets")
+    if not again.isEmpty():
+        twice = broadcast_if_small(again)
+        parts = parts.join(twice, "sid", "left_anti").unionByName(parts.join(twice, "sid", "left_semi").dropDuplicates(["sid", "f"]))
     info = broadcast_if_small(wanted.select("sid", "n", "sizes"))
     sized = pairs.join(info.toDF("a", "na", "sa"), "a").join(info.toDF("b", "nb", "sb"), "b")
     sized = sized.withColumn("need", _need(F.col("na"), F.col("nb"), percent))
@@ -187,6 +192,8 @@ def join_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     rows = stage(_sets(docs, rank, cut, k, percent), "shingle-sets")
     sets = stage(rows.filter("n > 0").groupBy("sid").agg(F.first(F.struct("key", "n", "bits", "sizes", "tokens")).alias("x")).select(
         "sid", "x.*"), "distinct-sets")
+    repeated = rows.filter("n > 0").groupBy("sid", "key").agg(F.count("*").alias("c")).filter("c > 1")
+    repeated = stage(repeated.select("sid").distinct(), "repeated-rows")
     prefix = sets.select("sid", "n", F.posexplode("tokens").alias("pos", "token"))
     shared = stage(prefix.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "shared-tokens")
     met = stage(prefix.join(broadcast_if_small(shared, 2_000_000), "token"), "buckets")
@@ -199,7 +206,7 @@ def join_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     x, y = (sets.select(F.col("sid").alias(c), "n", "bits").alias(t) for c, t in (("a", "x"), ("b", "y")))
     star = star.join(x, "a").join(y, "b").filter(_apart() <= _differ(percent)).select("a", "b")
     star = stage(star, "star-pairs")
-    links = stage(verified(star, docs, sets, cut, k, percent), "star-links")
+    links = stage(verified(star, docs, sets, repeated, cut, k, percent), "star-links")
     label = components(links)
 
     # what is left: pairs of different components
@@ -213,7 +220,7 @@ def join_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp"))
                   & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.sid") < F.col("y.sid"))) & _fits("x", "y", percent))
     rest = rest.filter(_apart() <= _differ(percent)).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
-    more = verified(stage(rest.distinct(), "rest-pairs"), docs, sets, cut, k, percent)
+    more = verified(stage(rest.distinct(), "rest-pairs"), docs, sets, repeated, cut, k, percent)
     label = components(links.unionByName(more))
 
     # the smallest doc_id of each component

@@ -61,6 +61,19 @@ def test_equals_brute_force(spark, k, percent):
         assert (r["n_shingles"], r["component_id"]) in want[r["doc_id"]], r
 
 
+def test_repeated_rows_count_once(spark):
+    rows = []
+    for i in range(12):
+        a = prose(403, 900 + i, 10**6).split()
+        b = list(a)
+        for j in range(9):
+            b[20 + 40 * j] = f"e{i}x{j}"
+        rows += [(2 * i, " ".join(a))] * 2 + [(None if i % 2 else 2 * i + 1, " ".join(b))] * (1 + i % 2)
+    want = brute(rows, 4, 85)
+    for r in collect(join_components(documents(spark, rows))):
+        assert (r["n_shingles"], r["component_id"]) in want[r["doc_id"]], r
+
+
 def test_one_of_each(spark):
     rows = [(5, prose(50, 1)), (2, prose(50, 1)), (2, prose(50, 1)), (9, prose(50, 2)), (None, prose(50, 2)), (3, ""), (4, None), (3, "")]
     docs = documents(spark, rows)
