@@ -59,4 +59,41 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_WEB} AS kept, ({_FAILED})::BIGINT AS failed
 FROM m"""
 
-ORACLE_SQL = {"op1_decontaminate": DECONTAMINATE, "op3_warc": WARC, "op4_ngram_join": NGRAM_JOIN, "op8_quality_ledger": QUALITY}
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_FLOORS = "list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)"
+
+HARD_NEGATIVES = f"""
+WITH r AS (SELECT row_number() OVER () AS u, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_FLOORS} AS x
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_USABLE}),
+c AS (SELECT u, vec_id, label, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM r),
+s AS (SELECT a.u AS au, a.vec_id AS a_id, b.u, b.vec_id, a.label = b.label AS same, sum(a.v * b.v)::BIGINT AS s
+      FROM c a JOIN c b ON a.i = b.i AND a.vec_id % 50 = 0 AND a.u <> b.u GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY au ORDER BY s DESC, vec_id) AS n FROM s WHERE same QUALIFY n <= 5),
+n AS (SELECT p.a_id, p.au, p.n, p.vec_id AS p_id, p.s AS p_s, q.vec_id AS n_id, q.s AS n_s,
+             row_number() OVER (PARTITION BY p.au, p.n ORDER BY q.s DESC, q.vec_id) AS rank
+      FROM p JOIN s q ON q.au = p.au AND NOT q.same AND 50 * p.s <= 100 * q.s AND 100 * q.s <= 95 * p.s QUALIFY rank <= 3)
+SELECT a_id AS anchor_id, p_id AS positive_id, rank::INT AS rank, n_id AS negative_id, p_s AS positive_score, n_s AS negative_score,
+       n::INT AS positive_rank FROM n"""
+
+
+def _centroids(clusters: int = 40, rounds: int = 5) -> str:
+    """Every round spelled out: c<n> are the centroids, d<n> all distances, a<n> the nearest."""
+    ctes = [f"v AS MATERIALIZED (SELECT vec_id, generate_subscripts(x, 1) AS i, unnest(x) AS x FROM "
+            f"(SELECT vec_id, {_FLOORS} AS x FROM embeddings WHERE {_USABLE} AND len(embedding) = 64))",
+            f"f AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS k FROM (SELECT DISTINCT vec_id FROM v) QUALIFY k < {clusters})",
+            "c0 AS MATERIALIZED (SELECT k, i, x FROM f JOIN v USING (vec_id))"]
+    for n in range(rounds + 1):
+        ctes.append(f"d{n} AS (SELECT vec_id, k, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM v JOIN c{n} c USING (i) GROUP BY ALL)")
+        ctes.append(f"a{n} AS MATERIALIZED (SELECT vec_id, k, d FROM d{n} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1)")
+        if n < rounds:
+            ctes.append(f"m{n} AS (SELECT k, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM a{n} JOIN v USING (vec_id) GROUP BY ALL)")
+            ctes.append(f"c{n + 1} AS MATERIALIZED (SELECT k, i, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN m{n} m USING (k, i))")
+    return f"""
+WITH {", ".join(ctes)},
+h AS (SELECT k, sha256(string_agg(x, ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY ALL)
+SELECT vec_id, k::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, h AS centroid_sha256 FROM a{rounds} JOIN h USING (k)"""
+
+
+ORACLE_SQL = {"op1_decontaminate": DECONTAMINATE, "op3_warc": WARC, "op4_ngram_join": NGRAM_JOIN, "op8_quality_ledger": QUALITY,
+              "op11_hard_negatives": HARD_NEGATIVES, "op13_centroids": _centroids()}

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, ngram_join, packing, quality_ledger, substring, token_files, toxicity, url_model, warc
+from . import bpe_trie, centroids, decontaminate, hard_negatives, language, ngram_join, packing, quality_ledger, substring, token_files, toxicity, url_model, warc
 from .oracle import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -79,5 +79,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_clauses")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+def op12_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe_trie.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return rows.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+                       F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring, op3_warc, op4_ngram_join, op5_language, op6_token_files, op7_url_model, op8_quality_ledger, op9_packing,
-                                   op10_toxicity)}
+                                   op10_toxicity, op11_hard_negatives, op12_bpe_trie, op13_centroids)}
