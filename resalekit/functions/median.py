@@ -1,34 +1,40 @@
 """Exact grouped medians (PERCENTILE_CONT(0.5)) without a whole group in one task.
 
 Spark's exact ``percentile`` merges a value -> count map of a group in one
-task. ``group_medians`` selects by rank instead:
-
-1. a histogram of each group over order-preserving buckets of the value, counted
-   from the rows with map-side partial counts; a group has a bounded
-   number of buckets, however many rows;
-2. one ``targets`` row per group: its counts and, for each median, the buckets
-   that hold the two middle ranks. A bucket with one value is the answer already;
-3. only rows of the other target buckets are read again, counted by value and
-   ranked. A large target bucket is cut into ``FINER`` parts of its value range
-   first, so that a task ranks the values of one part.
-
-Several medians over overlapping subsets of the rows are conditional counts in
-the same two passes.
+task. ``group_medians`` selects by rank instead, in two scans of the group keys and the value:
+
+1. a mergeable quantile sketch (KLL) of each group, with its counts. A group of up to
+   ``SKETCH`` values is held whole, so its sketch gives the answer. Else the sketch gives a
+   bracket of values around the middle ranks, ``MARGIN`` of the ranks wide on either side.
+   These targets, one row per group, are staged;
+2. rows up to the end of their group's bracket are counted, those inside it by value, and the
+   middle ranks are looked up among these counts. The counts are exact, so a bracket that missed its
+   rank shows, and its group is counted anew with a bracket without ends.
+
+The values of a bracket with many rows are ranked in ``FINER`` parts of its range, so that a
+task ranks those of one part. Several medians over overlapping subsets of the rows are conditional
+counts in the same two scans. A source that is more than a scan with filters and columns
+is staged first, its keys and value alone, so it is computed once.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from resalekit.session import stage
+
 BUCKETS_PER_OCTAVE = 1024
 FINER = 4096
-#: Groups whose targets may pass through the driver to be broadcast; rows of a
-#: target bucket that one task may rank.
-SMALL_GROUPS, SMALL_BUCKET = 20_000, 1_000_000
+#: Values that a sketch holds at least; the share of ranks between a middle rank and its bracket's end, which
+#: is over four times the sketch's error at 99 %.
+SKETCH, MARGIN = 1024, 12 / 1024
+#: Groups whose targets are broadcast at most; rows of a bracket that one task may rank.
+SMALL_GROUPS, SMALL_BRACKET = 20_000, 1_000_000
 _TOP = 2 ** 62
 
 
@@ -55,101 +61,122 @@ def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "in
     return left.join(other, on, how).drop(*[f"_r{i}" for i in range(len(keys))])
 
 
-def _targets(rows: DataFrame, by: list[str], n: int) -> DataFrame:
-    """One row per group. For subset i: _rows{i}, _known{i} (not NULL) and, for the
-    lower and upper middle rank (t of 0, 1): bucket _k, rows before it _s, rows
-    in it _c, least and largest value _a, _b, each numbered {i}{t}."""
-    hist = rows.groupBy(*by, "_k").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"),
-                                       *[F.count_if(f"_in{i}").alias(f"_n{i}") for i in range(n)])
-    whole = Window.partitionBy(*by)
-    running = whole.orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known = F.col("_k").isNotNull()
-    cols = []
-    for i in range(n):
-        valued = F.when(known, F.col(f"_n{i}")).otherwise(0)
-        cols += [F.sum(f"_n{i}").over(whole).alias(f"_rows{i}"), F.sum(valued).over(whole).alias(f"_known{i}"),
-                 F.sum(valued).over(running).alias(f"_e{i}")]
-    hist = hist.select("*", *cols)
+def _plain(df: DataFrame) -> bool:
+    """Whether ``df`` is a scan with filters and columns, which costs little to run again."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return not re.search(r"\b(Join|Aggregate|Window|Sort|Generate|Expand|Union|Limit|Sample|Repartition|MapIn|EvalPython)", plan)
+
+
+def _targets(rows: DataFrame, by: list[str], n: int, size: int, margin: float) -> DataFrame:
+    """One row per group. For subset i: _rows{i}, _known{i} (not NULL), and the values _x{i}0, _x{i}1 at
+    the middle ranks where the sketch holds all, else the bracket _lo{i}, _hi{i}."""
     aggs = []
     for i in range(n):
-        aggs += [F.max(f"_rows{i}").alias(f"_rows{i}"), F.max(f"_known{i}").alias(f"_known{i}")]
-        for t in (0, 1):
-            rank = F.expr(f"(_known{i} - {1 - t}) div 2")
-            here = known & (F.col(f"_known{i}") > 0) & (rank < F.col(f"_e{i}")) & (rank >= F.col(f"_e{i}") - F.col(f"_n{i}"))
-            for name, what in (("_k", F.col("_k")), ("_s", F.col(f"_e{i}") - F.col(f"_n{i}")), ("_c", F.col(f"_n{i}")),
-                               ("_a", F.col("_a")), ("_b", F.col("_b"))):
-                aggs.append(F.max(F.when(here, what)).alias(f"{name}{i}{t}"))
-    return hist.groupBy(*by).agg(*aggs)
+        v = F.when(F.col(f"_in{i}"), F.col("_v"))
+        # a sketch leaves NaN out, so there it is infinite: both come last
+        aggs += [F.count_if(f"_in{i}").alias(f"_rows{i}"), F.count(v).alias(f"_known{i}"), F.count(F.when(F.isnan(v), v)).alias(f"_nan{i}"),
+                 F.kll_sketch_agg_double(F.when(F.isnan(v), F.lit(float("inf"))).otherwise(v), F.lit(size)).alias(f"_q{i}")]
+    groups = rows.groupBy(*by).agg(*aggs)
+    # of up to ``size`` values the two middle ones are next to one half on either side
+    near = 0.25 / size
+    asked = F.array(*[F.lit(0.5 + r) for r in (-near, near, -margin - 1 / size, margin + 1 / size)])
+    out = list(by)
+    for i in range(n):
+        known = F.col(f"_known{i}")
+        groups = groups.withColumn(f"_a{i}", F.when(known > 0, F.kll_sketch_get_quantile_double(f"_q{i}", asked)))
+        out += [f"_rows{i}", f"_known{i}",
+                *[F.when(F.expr(f"(_known{i} - {1 - t}) div 2 >= _known{i} - _nan{i}"), F.when(known > 0, F.lit(float("nan"))))
+                  .when(known <= size, F.get(f"_a{i}", F.lit(t))).alias(f"_x{i}{t}") for t in (0, 1)],
+                *[F.when(known > size, F.get(f"_a{i}", F.lit(at))).alias(name) for at, name in ((2, f"_lo{i}"), (3, f"_hi{i}"))]]
+    return groups.select(*out)
 
 
 def group_medians(df: DataFrame, by: Sequence[str], value, subsets: Mapping[str, Column | None], *,
-                  per_octave: int = BUCKETS_PER_OCTAVE, finer: bool | None = None) -> DataFrame:
+                  finer: bool | None = None, sketch: int = SKETCH, margin: float = MARGIN) -> DataFrame:
     """Median of ``value`` per group of ``by`` for each subset (name -> condition,
     None for all rows): ``by`` + [name, name + '_count'] for each.
 
     One row per group of ``df``, as GROUP BY gives; the count is COUNT(*) of the
     subset's rows, NULL values included; the median ignores NULL values and is NULL
-    without any other. Group keys may be NULL. ``finer`` forces the second level
-    of buckets on or off; by default it is used where a target bucket is large.
+    without any other; NaN is the greatest value. Group keys may be NULL. ``finer`` forces ranking in parts
+    on or off; by default it is used where a bracket has many rows. ``sketch`` and ``margin`` change the work, not the result.
 
-    The first pass runs when this is called, to learn the sizes that decide on broadcasting."""
+    Both scans run when this is called; the result reads staged rows, one or two per group."""
     keys, n, names = list(by), len(subsets), list(subsets)
     rows = df.select(*[F.col(k) for k in keys], *([] if keys else [F.lit(0).alias("_all")]), _value(value).alias("_v"),
                      *[(F.lit(True) if c is None else F.coalesce(c, F.lit(False))).alias(f"_in{i}")
                        for i, c in enumerate(subsets.values())])
     by = keys or ["_all"]
-    rows = rows.withColumn("_k", order_bucket(F.col("_v"), per_octave))
-    targets = _targets(rows, by, n)
-    spots = [f"{i}{t}" for i in range(n) for t in (0, 1)]
-    few = targets.limit(SMALL_GROUPS + 1).collect()  # a bounded number of group rows, not of data
-    if len(few) <= SMALL_GROUPS:
-        targets = df.sparkSession.createDataFrame(few, targets.schema)
-        largest = max([r[f"_c{s}"] or 0 for r in few for s in spots if r[f"_a{s}"] != r[f"_b{s}"]], default=0)
-        finer = largest > SMALL_BUCKET if finer is None else finer
-    else:
-        largest, finer = None, True if finer is None else finer
-
-    answer = {s: F.when(F.col(f"_a{s}") == F.col(f"_b{s}"), F.col(f"_a{s}")) for s in spots}
-    if largest != 0:
-        picked = _ranked(rows, targets, by, n, spots, finer, len(few) <= SMALL_GROUPS)
-        targets = _join(targets, picked, by, "left")
-        answer = {s: F.coalesce(answer[s], F.col(f"_x{s}")) for s in spots}
+    if not _plain(rows):
+        rows = stage(rows, "median-rows")
+    targets = stage(_targets(rows, by, n, sketch, margin), "median-targets")
+    spots = [(i, t) for i in range(n) for t in (0, 1)]
+    # a spot is open where a group has numbers at its rank and the sketch does not hold it
+    open_ = {(i, t): F.col(f"_lo{i}").isNotNull() & F.col(f"_x{i}{t}").isNull() for i, t in spots}
+    left = targets.where(reduce(lambda a, b: a | b, open_.values()))
+    largest = F.greatest(F.lit(0), *[F.when(F.col(f"_lo{i}").isNotNull(), F.col(f"_known{i}")) for i in range(n)])
+    few, most = left.agg(F.count(F.lit(1)), F.max(largest)).first()
+    answer = {s: F.col("_x%d%d" % s) for s in spots}
+    if few:
+        parts = 2 * margin * most > SMALL_BRACKET if finer is None else finer
+        targets = stage(_join(targets, _ranked(rows, left, by, n, spots, parts, few <= SMALL_GROUPS), by, "left"), "median-ranks")
+        missed = targets.where(reduce(lambda a, b: a | b, [open_[s] & F.col("_y%d%d" % s).isNull() for s in spots]))
+        if number := missed.count():
+            again = missed.drop(*["_y%d%d" % s for s in spots])
+            for i in range(n):
+                for name, end in ((f"_lo{i}", "-inf"), (f"_hi{i}", "inf")):
+                    again = again.withColumn(name, F.when(F.col(name).isNotNull(), F.lit(float(end))))
+            anew = _ranked(rows, again, by, n, spots, True, number <= SMALL_GROUPS)
+            anew = anew.select(*by, *[F.col("_y%d%d" % s).alias("_z%d%d" % s) for s in spots])
+            targets = stage(_join(targets, anew, by, "left"), "median-ranks")
+            answer = {s: F.coalesce(answer[s], F.col("_z%d%d" % s)) for s in spots}
+        answer = {s: F.coalesce(answer[s], F.col("_y%d%d" % s)) for s in spots}
     out = []
     for i, name in enumerate(names):
-        lo, hi = answer[f"{i}0"], answer[f"{i}1"]
-        out += [F.when(F.col(f"_known{i}") > 0, lo + (hi - lo) * F.lit(0.5)).alias(name), F.col(f"_rows{i}").alias(f"{name}_count")]
+        lo, hi = answer[i, 0], answer[i, 1]
+        out += [F.when(lo == hi, lo).otherwise(lo + (hi - lo) * F.lit(0.5)).alias(name), F.col(f"_rows{i}").alias(f"{name}_count")]
     return targets.select(*keys, *out)
 
 
-def _ranked(rows: DataFrame, targets: DataFrame, by: list[str], n: int, spots: list[str], finer: bool, few: bool) -> DataFrame:
-    """Per group the values (_x) at the target ranks, from the rows of target buckets with several values."""
-    open_ = F.array_distinct(F.array_compact(F.array(*[F.when(F.col(f"_a{s}") < F.col(f"_b{s}"), F.col(f"_k{s}")) for s in spots])))
-    asked = targets.select(*by, *[f"_known{i}" for i in range(n)], *[f"{c}{s}" for s in spots for c in ("_k", "_s")],
-                           F.explode(open_).alias("_t"),
-                           *[F.col(f"{c}{s}") for s in spots for c in ("_a", "_b")])
-    span = lambda c: F.coalesce(*[F.when(F.col(f"_k{s}") == F.col("_t"), F.col(f"{c}{s}")) for s in spots])
-    asked = asked.withColumn("_lo", span("_a")).withColumn("_hi", span("_b")).drop(*[f"{c}{s}" for s in spots for c in ("_a", "_b")])
-    small = asked.select(*by, "_t", "_lo", "_hi")
-    hits = _join(rows.where("_k is not null").withColumnRenamed("_k", "_t"), F.broadcast(small) if few else small, [*by, "_t"])
-    part = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(float(FINER))) if finer else F.lit(0)
-    counts = hits.groupBy(*by, "_t", part.cast("long").alias("_p"), "_v").agg(*[F.count_if(f"_in{i}").alias(f"_n{i}") for i in range(n)])
-    up_to = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = up_to([*by, "_t", "_p"], "_v")
-    ranked = counts.select("*", *[F.sum(f"_n{i}").over(inside).alias(f"_e{i}") for i in range(n)])
+def _ranked(rows: DataFrame, targets: DataFrame, by: list[str], n: int, spots: list[tuple[int, int]], finer: bool, few: bool) -> DataFrame:
+    """Per group of ``targets`` the values (_y) at the middle ranks of the subsets with a bracket; NULL where it missed."""
+    ends = [f"{c}{i}" for i in range(n) for c in ("_lo", "_hi")]
+    asked = targets.select(*by, *ends)
+    hits = _join(rows.where(F.col("_v").isNotNull() & ~F.isnan("_v")), F.broadcast(asked) if few else asked, by)
+    v = F.col("_v")
+    reach = [F.coalesce(F.col(f"_in{i}") & (v <= F.col(f"_hi{i}")), F.lit(False)) for i in range(n)]
+    some = lambda conditions: reduce(lambda a, b: a | b, conditions)
+    inside = some([r & (v >= F.col(f"_lo{i}")) for i, r in enumerate(reach)])
+    part = F.lit(0).cast("long")
     if finer:
-        parts = counts.groupBy(*by, "_t", "_p").agg(*[F.sum(f"_n{i}").alias(f"_m{i}") for i in range(n)])
-        before = up_to([*by, "_t"], "_p")
-        parts = parts.select(*by, "_t", "_p", *[(F.sum(f"_m{i}").over(before) - F.col(f"_m{i}")).alias(f"_f{i}") for i in range(n)])
-        ranked = _join(ranked, parts, [*by, "_t", "_p"])
-        ranked = ranked.select(*by, "_t", "_v", *[f"_n{i}" for i in range(n)], *[(F.col(f"_e{i}") + F.col(f"_f{i}")).alias(f"_e{i}") for i in range(n)])
-    ranked = _join(ranked, asked.drop("_lo", "_hi"), [*by, "_t"])
+        lo, hi = (f(F.array(*[F.col(f"{c}{i}") for i in range(n)])) for f, c in ((F.array_min, "_lo"), (F.array_max, "_hi")))
+        wide = hi - lo
+        even = F.floor(F.coalesce((v - lo) / F.nullif(wide, F.lit(0.0)), F.lit(0.0)) * F.lit(float(FINER)))
+        part = F.when(F.abs(wide) < F.lit(float("inf")), even).otherwise(order_bucket(v)).cast("long")
+    # all rows below the brackets of a group are one count, with no value
+    counts = hits.where(some(reach)).select(*by, F.when(inside, part).alias("_p"), F.when(inside, v).alias("_v"),
+                                            *[r.alias(f"_c{i}") for i, r in enumerate(reach)])
+    counts = counts.groupBy(*by, "_p", "_v").agg(*[F.count_if(f"_c{i}").alias(f"_n{i}") for i in range(n)])
+    up_to = lambda keys, order: Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    if finer:
+        counts = stage(counts, "median-counts")
+        sums = counts.groupBy(*by, "_p").agg(*[F.sum(f"_n{i}").alias(f"_m{i}") for i in range(n)])
+        before = up_to(by, "_p")
+        sums = sums.select(*by, "_p", *[(F.sum(f"_m{i}").over(before) - F.col(f"_m{i}")).alias(f"_f{i}") for i in range(n)])
+        inner = up_to([*by, "_p"], "_v")
+        ranked = counts.select("*", *[F.sum(f"_n{i}").over(inner).alias(f"_e{i}") for i in range(n)])
+        ranked = _join(ranked, sums, [*by, "_p"])
+        ranked = ranked.select(*by, "_v", *[f"_n{i}" for i in range(n)], *[(F.col(f"_e{i}") + F.col(f"_f{i}")).alias(f"_e{i}") for i in range(n)])
+    else:
+        inner = up_to(by, "_v")
+        ranked = counts.select("*", *[F.sum(f"_n{i}").over(inner).alias(f"_e{i}") for i in range(n)])
+    ranked = _join(ranked, targets.select(*by, *[f"_known{i}" for i in range(n)]), by)
     aggs = []
-    for s in spots:
-        i, t = s[0], int(s[1])
-        end = F.col(f"_s{s}") + F.col(f"_e{i}")
+    for i, t in spots:
         rank = F.expr(f"(_known{i} - {1 - t}) div 2")
-        here = (F.col(f"_k{s}") == F.col("_t")) & (rank < end) & (rank >= end - F.col(f"_n{i}"))
-        aggs.append(F.max(F.when(here, F.col("_v"))).alias(f"_x{s}"))
+        here = (rank < F.col(f"_e{i}")) & (rank >= F.col(f"_e{i}") - F.col(f"_n{i}"))
+        aggs.append(F.max(F.when(here, F.col("_v"))).alias(f"_y{i}{t}"))
     return ranked.groupBy(*by).agg(*aggs)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session of this library wants (AQE re-plans partition counts
 # and splits skewed join partitions at run time). ``extra`` overrides them.
@@ -58,3 +58,14 @@ def shared_dir(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     if unique:
         leaf = f"{leaf}-{uuid.uuid4().hex[:12]}" if leaf else uuid.uuid4().hex[:12]
     return f"{shared_root(spark)}/{leaf}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: what comes after reads
+    it instead of computing it again, also when executors are lost. It goes when the application ends."""
+    spark = df.sparkSession
+    path = shared_dir(spark, "staged", name)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -175,3 +175,71 @@ def test_group_median_empty_by(spark):
     df = spark.createDataFrame([(1.0,), (5.0,), (None,)], T.StructType([T.StructField("v", T.DoubleType())]))
     r = one(group_median(df, [], "v", "m", count_alias="c"))
     assert (r.m, r.c) == (3.0, 3)
+
+
+def _plans(monkeypatch):
+    """The physical plans of what the medians stage, as they run."""
+    from resalekit.functions import median
+    seen = []
+
+    def noted(df, name, stage=median.stage):
+        seen.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return stage(df, name)
+
+    monkeypatch.setattr(median, "stage", noted)
+    return seen
+
+
+def _reads(plan, path):
+    return sum(path in line for line in plan.split("== Initial Plan ==")[0].splitlines() if "FileScan" in line)
+
+
+def test_medians_of_many_groups_take_two_narrow_scans(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "many")
+    spark.range(220_000).selectExpr("id % 50000 AS g", "cast(hash(id) % 10007 AS double) / 4 AS v", "id AS unused").withColumn(
+        "g", F.expr("if(v < 200, -1, g)")).write.parquet(path)
+    seen = _plans(monkeypatch)
+    df = spark.read.parquet(path)
+    got = {r.g: r.m for r in group_median(df, ["g"], "v", "m").collect()}
+    assert sum(_reads(plan, path) for _, plan in seen) == 2 and not any("unused" in plan for _, plan in seen)
+    assert got == {r.g: r.m for r in group_median(df, ["g"], "v", "m", method="builtin").collect()} and len(got) > 45_000
+
+
+def test_a_computed_source_of_medians_runs_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "raw")
+    spark.range(9000).selectExpr("id % 7 AS g", "cast(id * 37 % 4001 AS double) AS v", "id % 3 AS k").write.parquet(path)
+    seen = _plans(monkeypatch)
+    df = spark.read.parquet(path).dropDuplicates(["g", "v"]).join(spark.range(3).withColumnRenamed("id", "k"), "k")
+    got = {r.g: r.m for r in group_median(df, ["g"], "v", "m").collect()}
+    assert sum(_reads(plan, path) for _, plan in seen) == 1
+    assert got.keys() == set(range(7))
+
+
+@pytest.mark.parametrize("margin", [-0.2, 0.0, 0.02])
+def test_a_bracket_that_misses_its_rank_is_found_out(spark, margin):
+    df = spark.range(30_000).selectExpr("id % 2 AS g", "cast(hash(id) % 5003 AS double) AS v", "id % 3 = 0 AS some")
+    by = {"all": None, "third": F.col("some")}
+    got = {r.g: (r.all, r.third) for r in group_medians(df, ["g"], "v", by, sketch=64, margin=margin).collect()}
+    rows = df.collect()
+    for g in (0, 1):
+        for at, own in enumerate(([r.v for r in rows if r.g == g], [r.v for r in rows if r.g == g and r.some])):
+            own.sort()
+            assert got[g][at] == (own[(len(own) - 1) // 2] + own[len(own) // 2]) / 2
+
+
+@pytest.mark.parametrize("size", [1, 2, 999, 1024, 1025, 3001])
+def test_medians_with_nan_infinity_and_ties(spark, size):
+    rnd = random.Random(size)
+    kinds = [float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 1.5, None]
+    rows = [(g, rnd.choice(kinds) if rnd.random() < share else rnd.uniform(-9, 9)) for g, share in (("few", 0.1), ("many", 0.9)) for _ in range(size)]
+    rows += [("nan", float("nan"))] * size + [("inf", float("inf"))] * size
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.m for r in group_median(df, ["g"], "v", "m").collect()}
+    for g in ("few", "many", "nan", "inf"):
+        own = sorted((v for h, v in rows if h == g and v is not None), key=lambda v: (v != v, v if v == v else 0.0))
+        if not own:
+            assert got[g] is None
+            continue
+        lo, hi = own[(len(own) - 1) // 2], own[len(own) // 2]
+        want = lo if lo == hi else lo + (hi - lo) * 0.5
+        assert got[g] == want or (got[g] != got[g] and want != want)
