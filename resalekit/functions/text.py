@@ -22,10 +22,13 @@ def extract_postcode(address) -> Column:
     return F.nullif(F.regexp_extract(F.upper(_c(address)), POSTCODE_PATTERN, 1), F.lit(""))
 
 
-def outward_code(postcode) -> Column:
+def outward_code(postcode, compact: bool = False) -> Column:
     """Part before the first space ('SW7 1RH' -> 'SW7'); a postcode written
-    without the space comes back whole and will not match a district map."""
-    return F.split_part(_c(postcode), F.lit(" "), F.lit(1))
+    without the space comes back whole and will not match a district map, unless
+    ``compact`` is set: then its inward code, the last three characters, is cut off ('SW71RH' -> 'SW7')."""
+    c = _c(postcode)
+    outward = F.split_part(c, F.lit(" "), F.lit(1))
+    return F.when(c.rlike(r"\s"), outward).otherwise(F.substring(c, F.lit(1), F.length(c) - 3)) if compact else outward
 
 
 def normalise_key(col) -> Column:

@@ -36,16 +36,16 @@ def clean_events(raw: DataFrame, key: str = "property_id", date: str = "deedDate
             .where(F.col("_rn") == 1).drop("_rn"))
 
 
-def clean_entities(raw: DataFrame, *, date_formats=None, on_error: str = "raise") -> DataFrame:
+def clean_entities(raw: DataFrame, *, date_formats=None, on_error: str = "raise", compact_postcodes: bool = False) -> DataFrame:
     """Entity table with postcode (first match in upper(address)), outward
     district (stored as ``postcode_area``), parsed latest price and date; the
-    raw price text is kept as ``latest_price_raw``. Narrow projection, no
-    shuffle."""
+    raw price text is kept as ``latest_price_raw``. ``compact_postcodes`` finds the district of
+    postcodes without a space too. Narrow projection, no shuffle."""
     postcode = extract_postcode("address")
     return raw.select(
         "property_id", "address",
         postcode.alias("postcode"),
-        outward_code(postcode).alias("postcode_area"),
+        outward_code(postcode, compact_postcodes).alias("postcode_area"),
         "property_type", "property_subtype", "bedrooms", "bathrooms", "tenure",
         F.col("latest_price").alias("latest_price_raw"),
         parse_money("latest_price", on_error).alias("latest_sale_price"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from resalekit.functions.numeric import round_half_up
 from resalekit.functions.text import label_or_unknown, normalise_key
 from resalekit.operators.checks import assert_unique
 
@@ -46,3 +47,13 @@ def enrich(events: DataFrame, entities: DataFrame, geo: DataFrame, *,
         "bedrooms", "bathrooms",
         label_or_unknown("tenure").alias("tenure"),
         "property_new_build_flag", "postcode_area", "postcode_area_name", "region", "country")
+
+
+def match_report(enriched: DataFrame) -> DataFrame:
+    """Per district, the events, those that the geography map has no area for, and their share in %
+    (2 dp). A NULL district: events without an entity or a postcode."""
+    unmatched = F.count_if(F.col("postcode_area").isNull())
+    out = enriched.groupBy("postcode_district").agg(F.count(F.lit(1)).alias("sales_count"), unmatched.alias("unmatched_count"))
+    share = F.lit(100) * F.col("unmatched_count") / F.col("sales_count")
+    return out.select("*", round_half_up(share, 2).alias("pct_unmatched")).orderBy(
+        F.col("unmatched_count").desc(), F.col("postcode_district").asc_nulls_last())

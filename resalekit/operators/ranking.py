@@ -1,23 +1,34 @@
 """Rankings from both ends (W30, W32) and top groups by count.
 
-An unpartitioned DENSE_RANK window would move every row into one task. The
-top-n *distinct* values from each end are found instead with a distributed
-distinct followed by ``orderBy().limit(n)`` (each task keeps n rows; the
-merge sees n per task), ranked on those <= 2n values, and joined back with a
-broadcast of at most 2n rows -- a size bounded by ``n``, not by the data.
-"""
+An unpartitioned DENSE_RANK window would move every row into one task. Here each
+row stands once for either end, with the number of the task that made it as a salt, and
+a window per end and salt keeps the n best. Spark plans that as a WindowGroupLimit before the
+shuffle, so a task passes on n rows (or values, with their ties) of each end and the input is
+computed once. What is left is bounded by n and the salts, not by the data, and is ranked again."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from resalekit.session import stage
 
-def _rank_end(values: DataFrame, metric: str, n: int, descending: bool, alias: str) -> DataFrame:
-    order = F.col(metric).desc() if descending else F.col(metric).asc()
-    top = values.orderBy(order).limit(n)
-    # <= n rows: ranking them in one partition is bounded by n.
-    return top.select(metric, F.row_number().over(Window.orderBy(order)).alias(alias))
+#: Windows of an end: ties of one value are dealt to so many tasks.
+SALTS = 32
+END, SALT, RANK = "__rank_end", "__rank_salt", "__rank"
+
+
+def _order(metric: str) -> list[Column]:
+    """The best first: the largest where the row stands for the winners, else the smallest."""
+    win = F.col(END) == 0
+    return [F.when(win, F.col(metric)).desc(), F.when(~win, F.col(metric)).asc()]
+
+
+def _both_ends(df: DataFrame, metric: str, n: int, rank: Column, order: list[Column]) -> DataFrame:
+    """The rows with a metric that are among the ``n`` best of their end (0: largest) and salt."""
+    rows = df.where(F.col(metric).isNotNull()).withColumn(SALT, F.spark_partition_id() % SALTS)
+    rows = rows.withColumn(END, F.explode(F.array(F.lit(0), F.lit(1))))
+    return rows.withColumn(RANK, rank.over(Window.partitionBy(END, SALT).orderBy(*order))).where(F.col(RANK) <= n).drop(RANK, SALT)
 
 
 def two_sided_dense(df: DataFrame, metric: str, n: int = 10, *,
@@ -25,17 +36,16 @@ def two_sided_dense(df: DataFrame, metric: str, n: int = 10, *,
     """Rows whose ``metric`` is among the n largest or n smallest distinct
     values (DENSE_RANK <= n from either end, ties kept). Adds ``bucket``
     (the winner label wins when both apply) and ``rank_in_bucket``.
-    Rows with a NULL metric are not ranked."""
-    ranked_rows = df.where(F.col(metric).isNotNull())
-    values = ranked_rows.select(metric).distinct()
-    ranks = _rank_end(values, metric, n, True, "_win").join(_rank_end(values, metric, n, False, "_lose"), metric, "full")
-    # <= 2 n rows, fetched first: both ends share the distinct values' exchange, and the rows are read once more only
-    ranks = df.sparkSession.createDataFrame(ranks.collect(), ranks.schema)
-    out = ranked_rows.join(F.broadcast(ranks), metric)
+    Rows with a NULL metric are not ranked. ``df`` is computed once, when this is called."""
+    kept = stage(_both_ends(df, metric, n, F.dense_rank(), _order(metric)), "ranked-ends")
+    # at most n values of each end and salt
+    values = kept.select(END, metric).distinct()
+    ranks = values.withColumn("_rank", F.row_number().over(Window.partitionBy(END).orderBy(*_order(metric)))).where(F.col("_rank") <= n)
+    ranks = ranks.groupBy(metric).agg(F.min(END).alias("_end"), F.min_by("_rank", END).cast("long").alias("rank_in_bucket"))
+    # <= 2 n rows. A value that both ends have counts for the winners, and each row of it once
+    out = kept.join(F.broadcast(ranks), metric).where(F.col(END) == F.col("_end"))
     win, lose = labels
-    bucket = F.when(F.col("_win").isNotNull(), F.lit(win)).otherwise(F.lit(lose))
-    rank = F.coalesce(F.col("_win"), F.col("_lose")).cast("long")
-    return out.select(*df.columns, bucket.alias("bucket"), rank.alias("rank_in_bucket"))
+    return out.select(*df.columns, F.when(F.col("_end") == 0, F.lit(win)).otherwise(F.lit(lose)).alias("bucket"), "rank_in_bucket")
 
 
 def two_sided_limit(df: DataFrame, metric: str, n: int = 10, *, key: str = "property_id",
@@ -43,15 +53,14 @@ def two_sided_limit(df: DataFrame, metric: str, n: int = 10, *, key: str = "prop
                     label_col: str = "category") -> DataFrame:
     """The n rows with the largest and the n with the smallest non-NULL
     ``metric`` (ties broken by ``key`` ascending so the cut is
-    deterministic), labelled in ``label_col``; ``orderBy().limit()`` plans
-    as TakeOrderedAndProject (n rows per task, no full sort)."""
-    rows = df.where(F.col(metric).isNotNull())
+    deterministic), labelled in ``label_col``."""
+    order = [*_order(metric), F.col(key).asc()]
+    kept = _both_ends(df, metric, n, F.row_number(), order)
+    # n rows of each end and salt are ranked in one task
+    kept = kept.withColumn(RANK, F.row_number().over(Window.partitionBy(END).orderBy(*order))).where(F.col(RANK) <= n)
     win, lose = labels
-    top = rows.orderBy(F.col(metric).desc(), F.col(key).asc()).limit(n) \
-              .select("*", F.lit(win).alias(label_col))
-    bottom = rows.orderBy(F.col(metric).asc(), F.col(key).asc()).limit(n) \
-                 .select("*", F.lit(lose).alias(label_col))
-    return top.unionByName(bottom).orderBy(F.col(metric).desc(), F.col(key).asc(), label_col)
+    out = kept.select(*df.columns, F.when(F.col(END) == 0, F.lit(win)).otherwise(F.lit(lose)).alias(label_col))
+    return out.orderBy(F.col(metric).desc(), F.col(key).asc(), label_col)
 
 
 def top_groups(df: DataFrame, group: str, n: int, *, count_alias: str = "sales_count",

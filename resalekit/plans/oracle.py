@@ -234,6 +234,8 @@ WHERE count > 1"""),
     "enrich_sales": q("""SELECT id AS property_id, day AS sale_date, price AS sale_price, flag AS new_build_at_sale, address, code AS postcode,
   district AS postcode_district, kind AS property_type, subkind AS property_subtype, beds AS bedrooms, baths AS bathrooms, tenure,
   entity_flag AS property_new_build_flag, area AS postcode_area, area_name AS postcode_area_name, region, country FROM sales"""),
+    "match_report": q(f"""SELECT district AS postcode_district, count(*) AS sales_count, count(*) - count(area) AS unmatched_count,
+  {rnd(ratio('100 * (count(*) - count(area))', 'count(*)'), 2)} AS pct_unmatched FROM sales GROUP BY district"""),
     "resale_change_by_type": change({"kind": "property_type"}),
     "resale_change_by_type_area": change({"kind": "property_type", "area": "postcode_area", "area_name": "postcode_area_name", "region": "region"}),
     "time_to_next_sale": q(f"""SELECT kind AS property_type, {AREA}, {rnd(mid('wait'), 1)} AS median_years_to_next_sale, count(*) AS resale_pairs_count

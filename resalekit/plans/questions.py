@@ -3,30 +3,38 @@
 ``Inputs`` holds the raw, clean and enriched frames of one source; each ``q_*``
 function returns the DataFrame of one item. Nothing is kept between calls: a
 pipeline reads its Parquet sources when it runs, so only the columns and date
-ranges it needs are read and a changed source gives a changed result. The clean
-and enriched tables can be stored: ``build_tables`` writes them to a location
-that the caller names, and ``Inputs(..., tables=location)`` reads them from there.
+ranges it needs are read and a changed source gives a changed result. Frames that several
+items read can be stored: ``build_tables`` writes them as a new version of catalogue tables at
+a location that the caller names (``plans.store``), and ``Inputs(..., tables=location)`` reads them from there.
+``run_many`` runs a list of items and computes the frames that they share once.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections import Counter
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field, replace
 from functools import cached_property
+from types import FunctionType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resalekit.operators import checks, clean, enrich, history, holding, quick, ranking, segments
+from resalekit.plans import store
 from resalekit.plans.params import Params
 from resalekit.sources.bindings import BINDINGS, RawTables
 from resalekit.sources.sinks import write_result
 
+#: What ``build_tables`` stores, in the order in which one is made from another; and what else can be.
 STORED = ("clean_events", "clean_entities", "enriched")
+FRAMES = (*STORED, "holding", "guarded")
 
 
 @dataclass
 class Inputs:
-    """Raw tables are those of a binding over ``sf_dir``, or ``raw_tables``."""
+    """Raw tables are those of a binding over ``sf_dir``, or ``raw_tables``. With ``tables``, frames come from the
+    version that is current when the first is read, as far as it has them; ``held`` are frames to use as they are."""
 
     spark: SparkSession
     sf_dir: str = ""
@@ -34,11 +42,16 @@ class Inputs:
     params: Params = field(default_factory=Params)
     tables: str | None = None
     raw_tables: RawTables | None = None
+    held: dict[str, DataFrame] = field(default_factory=dict)
 
     @cached_property
     def raw(self) -> RawTables:
         return self.raw_tables or BINDINGS[self.binding](self.spark, self.sf_dir)
 
+    @cached_property
+    def version(self) -> store.Version | None:
+        return store.current(self.spark, self.tables) if self.tables else None
+
     @property
     def events(self) -> DataFrame:
         return self.raw.events
@@ -47,38 +60,67 @@ class Inputs:
     def entities(self) -> DataFrame:
         return self.raw.entities
 
-    def _table(self, name: str, build) -> DataFrame:
-        return self.spark.read.parquet(f"{self.tables.rstrip('/')}/{name}") if self.tables else build()
+    def _frame(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name in self.held:
+            return self.held[name]
+        if self.tables and self.version is None:
+            raise ValueError(f"no tables were built at {self.tables}")
+        told = self.version.tables.get(name) if self.version else None
+        # a frame that depends on parameters is used with the same ones only
+        return store.open_table(self.spark, self.version, name) if told and told["params"] == self.frame_params(name) else build()
+
+    def frame_params(self, name: str) -> dict:
+        return {"min_hold_days": self.params.min_hold_days} if name == "guarded" else {}
 
     @property
     def clean_events(self) -> DataFrame:
-        return self._table("clean_events", lambda: clean.clean_events(self.events))
+        return self._frame("clean_events", lambda: clean.clean_events(self.events))
 
     @property
     def clean_entities(self) -> DataFrame:
-        return self._table("clean_entities", lambda: clean.clean_entities(self.entities))
+        return self._frame("clean_entities", lambda: clean.clean_entities(self.entities))
 
     @property
     def enriched(self) -> DataFrame:
-        return self._table("enriched", lambda: enrich.enrich(self.clean_events, self.clean_entities, self.raw.geo))
+        return self._frame("enriched", lambda: enrich.enrich(self.clean_events, self.clean_entities, self.raw.geo))
+
+    @property
+    def holding(self) -> DataFrame:
+        return self._frame("holding", lambda: holding.holding_metrics(self.enriched))
+
+    @property
+    def guarded(self) -> DataFrame:
+        return self._frame("guarded", lambda: holding.guarded_metrics(self.enriched, min_days=self.params.min_hold_days))
 
+    def create_view(self, name: str = "sales_enriched") -> str:
+        """The enriched frame as a temporary view that SQL can read."""
+        self.enriched.createOrReplaceTempView(name)
+        return name
 
-def build_tables(inputs: Inputs, location: str) -> Inputs:
-    """Store the clean and enriched tables as Parquet below ``location`` (a folder
-    that all executors share), replacing what is there, and return inputs that
-    read them. Rows are sorted by date within each file, so date ranges skip row
-    groups. A repeated entity key or district fails before anything is written
-    to ``enriched``: it would fan out every later window."""
-    source = Inputs(inputs.spark, inputs.sf_dir, inputs.binding, inputs.params, None, inputs.raw_tables)
-    stored = Inputs(inputs.spark, inputs.sf_dir, inputs.binding, inputs.params, location, inputs.raw_tables)
 
-    def write(df: DataFrame, name: str, *order: str) -> None:
-        (df.sortWithinPartitions(*order) if order else df).write.mode("overwrite").parquet(f"{location.rstrip('/')}/{name}")
+def build_tables(inputs: Inputs, location: str, names: Sequence[str] = STORED, buckets: int | None = None) -> Inputs:
+    """Store frames as a new version at ``location`` (a folder that all executors share) and return
+    inputs that read it. A repeated entity key or district fails before the version is used, as does an
+    enriched table with another number of rows than its events: either would fan out every later window.
+    Readers see the version before until then."""
+    source = replace(inputs, tables=None, held={})
 
-    write(source.clean_events, "clean_events", "sale_date")
-    write(source.clean_entities, "clean_entities")
-    write(enrich.enrich(stored.clean_events, stored.clean_entities, source.raw.geo, check_keys=True), "enriched", "sale_date")
-    return stored
+    def make(name: str) -> Callable[[dict[str, DataFrame]], DataFrame]:
+        def run_(held: dict[str, DataFrame]) -> DataFrame:
+            own = replace(source, held=dict(held))
+            if name == "enriched":
+                return enrich.enrich(own.clean_events, own.clean_entities, own.raw.geo, check_keys=True)
+            return getattr(own, name)
+        return run_
+
+    def check(held: dict[str, DataFrame]) -> None:
+        if {"clean_events", "enriched"} <= set(held) and held["clean_events"].count() != held["enriched"].count():
+            raise ValueError("the enriched table does not have a row for each event")
+
+    names = [n for n in FRAMES if n in names]
+    store.build(inputs.spark, location, {n: make(n) for n in names}, params={n: inputs.frame_params(n) for n in names},
+                buckets=buckets, check=check)
+    return replace(source, tables=location)
 
 
 # --- preparation and checks -------------------------------------------------
@@ -148,6 +190,10 @@ def q_enrich_sales(i: Inputs) -> DataFrame:
     return i.enriched
 
 
+def q_match_report(i: Inputs) -> DataFrame:
+    return enrich.match_report(i.enriched)
+
+
 # --- consecutive events ------------------------------------------------------
 
 def q_resale_change_by_type(i: Inputs) -> DataFrame:
@@ -220,12 +266,12 @@ def q_shock_year_medians(i: Inputs) -> DataFrame:
 # --- holding returns -----------------------------------------------------------
 
 def q_holding_metrics(i: Inputs) -> DataFrame:
-    return holding.holding_metrics(i.enriched)
+    return i.holding
 
 
 def q_holding_review_flag(i: Inputs) -> DataFrame:
     p = i.params
-    return holding.review_flag(holding.holding_metrics(i.enriched), floor=p.floor,
+    return holding.review_flag(i.holding, floor=p.floor,
                                short_years=p.short_years, cap=p.cap)
 
 
@@ -238,7 +284,7 @@ def q_winners_losers_dense(i: Inputs) -> DataFrame:
 
 
 def q_holding_metrics_guarded(i: Inputs) -> DataFrame:
-    return holding.guarded_metrics(i.enriched, min_days=i.params.min_hold_days)
+    return i.guarded
 
 
 def q_winners_losers_annualized(i: Inputs) -> DataFrame:
@@ -282,6 +328,7 @@ PIPELINES = {
     "clean_null_checks": q_clean_null_checks,
     "postcode_coverage": q_postcode_coverage,
     "enrich_sales": q_enrich_sales,
+    "match_report": q_match_report,
     "resale_change_by_type": q_resale_change_by_type,
     "resale_change_by_type_area": q_resale_change_by_type_area,
     "time_to_next_sale": q_time_to_next_sale,
@@ -311,3 +358,41 @@ def run(name: str, spark: SparkSession, sf_dir: str = "", binding: str = "orders
     """One item over a binding of the driver's tables, or over ``raw_tables`` (see
     ``bind_raw``); with ``tables``, off the stored clean and enriched tables."""
     return PIPELINES[name](Inputs(spark, sf_dir, binding, params or Params(), tables, raw_tables))
+
+
+def frames_of(name: str) -> set[str]:
+    """The frames that an item reads: those its function names, and the functions that it calls."""
+    seen: set[FunctionType] = set()
+
+    def walk(function: FunctionType) -> set[str]:
+        if function in seen:
+            return set()
+        seen.add(function)
+        names = function.__code__.co_names
+        called = [f for n in names if isinstance(f := function.__globals__.get(n), FunctionType) and n.startswith("q_")]
+        return set(FRAMES).intersection(names).union(*map(walk, called))
+
+    return walk(PIPELINES[name])
+
+
+def shared_frames(names: Sequence[str]) -> list[str]:
+    """The frames that more than one of these items reads, or makes another shared frame from, in the order of building."""
+    made_from = {"enriched": ("clean_events", "clean_entities"), "holding": ("enriched",), "guarded": ("enriched",)}
+    uses = Counter(f for n in names for f in frames_of(n))
+    shared: list[str] = []
+    for frame in reversed(FRAMES):  # the last ones first: they read those before them
+        if uses[frame] > 1:
+            shared.insert(0, frame)
+        if uses[frame]:
+            uses.update(made_from.get(frame, ()))
+    return shared
+
+
+def run_many(names: Sequence[str], spark: SparkSession, sf_dir: str = "", location: str = "", binding: str = "orders",
+             params: Params | None = None, raw_tables: RawTables | None = None, buckets: int | None = None) -> dict[str, DataFrame]:
+    """Several items of one source. The frames that they share are computed once and stored as
+    a new version at ``location``; all items read that version."""
+    inputs = Inputs(spark, sf_dir, binding, params or Params(), None, raw_tables)
+    if shared := shared_frames(names):
+        inputs = build_tables(inputs, location, shared, buckets)
+    return {name: PIPELINES[name](inputs) for name in names}

@@ -17,7 +17,7 @@ have_data = pytest.mark.skipif(not os.path.exists(f"{SF}/orders.parquet"), reaso
 def test_registry_keys():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
-    assert set(PIPELINES) <= set(q) and set(ORACLE) == set(PIPELINES) and len(PIPELINES) == 37
+    assert set(PIPELINES) <= set(q) and set(ORACLE) == set(PIPELINES) and len(PIPELINES) == 38
 
 
 @have_data
@@ -104,7 +104,7 @@ def test_sink_formats(spark, tmp_path):
     assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).count() == spark.read.parquet(str(tmp_path / "p")).count() == 10
 
 
-ORACLE_SUBSET = ["clean_events", "enrich_sales", "resale_change_by_type", "time_to_next_sale",
+ORACLE_SUBSET = ["clean_events", "enrich_sales", "match_report", "resale_change_by_type", "time_to_next_sale",
                  "quick_resale_summary", "period_growth_long", "premium_new_vs_old",
                  "median_by_tenure", "winners_losers_dense", "winners_losers_annualized",
                  "filter_retention", "shock_year_medians", "duplicate_event_keys", "orphan_events",

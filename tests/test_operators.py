@@ -287,3 +287,20 @@ def test_dedup_limits_groups_before_the_shuffle(raw_events):
     lines = plan.splitlines()
     ex = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line)
     assert any("WindowGroupLimit" in line and "Partial" in line for line in lines[ex + 1:])
+
+
+def test_compact_postcodes_and_the_match_report(raw_events, raw_entities, geo):
+    from resalekit.operators.enrich import enrich, match_report
+    events = clean.clean_events(raw_events, on_error="null")
+
+    def report(**kw):
+        rows = match_report(enrich(events, clean.clean_entities(raw_entities, on_error="null", **kw), geo)).collect()
+        return {r.postcode_district: (r.sales_count, r.unmatched_count, r.pct_unmatched) for r in rows}
+
+    spaced, compact = report(), report(compact_postcodes=True)
+    # entity 2 is at SW71RH: two events
+    assert spaced["SW71RH"] == (2, 2, 100.0) and "SW71RH" not in compact
+    assert compact["SW7"] == (spaced["SW7"][0] + 2, 0, 0.0) and spaced["SW7"][1] == 0
+    assert spaced["EC1A"] == compact["EC1A"] == (1, 1, 100.0)  # not in the map
+    assert spaced[None] == compact[None] and spaced[None][2] == 100.0
+    assert sum(v[0] for v in spaced.values()) == events.count()
