@@ -49,17 +49,16 @@ def mask(policy: str, policies=None, rules=None) -> int:
     return sum(1 << r.bit for r in (rules or RULES) if r.name in names)
 
 
-def _repeats(df: DataFrame) -> DataFrame:
+def _repeats(df: DataFrame, bits: str = "length(bin(size(g)))") -> DataFrame:
     """n_repeat_words from ``words``: words inside 3-word windows that occur twice or more.
 
-    A window's 64-bit hash and its position are packed into one long, so that a
-    sort of longs brings equal windows together. Two windows that agree only in
-    the bits that were packed are told apart by their whole hashes."""
+    A window's position takes as many low bits of a long as the text needs, its hash the
+    others, so that a sort of longs brings equal windows together. Where windows agree in these bits alone,
+    the found ones are sorted again by their whole hashes."""
     n = F.size("words")
     df = df.withColumn("g", F.when(n >= 3, F.transform(
         F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(3)]))))
-    df = df.withColumn("twice", F.size(F.array_distinct("g")) < F.size("g")).withColumn("b", F.expr(
-        "if(size(g) < 1048576, 20, 30)")).drop("words")
+    df = df.withColumn("twice", F.size(F.array_distinct("g")) < F.size("g")).withColumn("b", F.expr(bits)).drop("words")
     df = df.withColumn("packed", F.expr(
         "if(twice, sort_array(transform(g, (h, i) -> shiftleft(shiftright(h, b), b) | bigint(i))), array())"))
     near = "shiftright(x ^ coalesce(get(packed, j {} 1), ~x), b) = 0"
@@ -67,8 +66,10 @@ def _repeats(df: DataFrame) -> DataFrame:
     df = df.withColumn("at", F.expr("transform(found, x -> int(x & (shiftleft(1L, b) - 1)))"))
     df = df.withColumn("full", F.expr("transform(at, p -> get(g, p))")).drop("g")
     same = "size(array_distinct(full)) = size(array_distinct(transform(found, x -> shiftright(x, b))))"
-    alone = "filter(at, (p, j) -> size(filter(full, y -> y = get(full, j))) > 1)"
-    df = df.withColumn("at", F.expr(f"sort_array(if({same}, at, {alone}))")).drop("found", "full", "b", "twice")
+    df = df.withColumn("whole", F.expr(f"if({same}, array(), sort_array(arrays_zip(full, at)))"))
+    alike = "coalesce(get(whole, j {} 1).full = x.full, false)"
+    alone = f"transform(filter(whole, (x, j) -> {alike.format('+')} or {alike.format('-')}), x -> x.at)"
+    df = df.withColumn("at", F.expr(f"sort_array(if(size(whole) = 0, at, {alone}))")).drop("found", "full", "whole", "b", "twice")
     return df.withColumn("n_repeat_words", F.expr(
         "aggregate(transform(at, (p, j) -> bigint(coalesce(least(3, get(at, j + 1) - p), 3))), 0L, (s, x) -> s + x)")).drop("at")
 

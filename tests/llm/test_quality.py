@@ -1,5 +1,7 @@
+import functools
 import random
 import re
+import time
 from collections import Counter
 
 from helpers import ODD, WORDS, collect, documents, extra
@@ -33,24 +35,25 @@ def test_measurements_equal_brute_force(spark):
     assert Counter((r.doc_id, tuple((m, r[m]) for m in brute(""))) for r in got) == want
 
 
-def test_windows_that_agree_in_the_packed_bits_only(spark):
+def test_windows_that_agree_in_the_packed_bits_only(spark, monkeypatch):
     """With most bits of a hash cut off, different windows fall together and are told apart."""
     texts = many() + ["a b c d e f g h i j a b c", "a b c d e f g h"]
     df = documents(spark, texts)
-    cut = q._repeats
-    import inspect
-    source = inspect.getsource(cut).replace("if(size(g) < 1048576, 20, 30)", "if(size(g) < 1048576, 61, 61)")
-    assert "61, 61" in source
-    scope = dict(vars(q))
-    exec(source, scope)
-    q._repeats = scope["_repeats"]
-    try:
-        got = collect(q.measure(df))
-    finally:
-        q._repeats = cut
+    monkeypatch.setattr(q, "_repeats", functools.partial(q._repeats, bits="61"))
+    got = collect(q.measure(df))
     assert [r["n_repeat_words"] for r in got] == [brute(t)["n_repeat_words"] for t in texts]
 
 
+def test_a_text_of_two_million_words(spark):
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(200)}" for _ in range(1_990_000)] + ["so", "on"] * 5000
+    text = " ".join(words)
+    began = time.time()
+    got = q.measure(documents(spark, [text])).first()
+    assert time.time() - began < 60
+    assert {m: got[m] for m in brute("")} == brute(text)
+
+
 def test_ledger_policies_and_ablation(spark):
     texts = TEXTS + many() + [" ".join(f"w{i}" for i in range(80)), " ".join(["x y z"] * 40), "# " * 90]
     rows = collect(q.ledger(documents(spark, texts)))
