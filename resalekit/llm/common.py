@@ -3,6 +3,7 @@ folder, size-checked broadcasts, word hashing and Arrow batch slicing."""
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import tempfile
@@ -66,11 +67,29 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Of what goes to the Python workers at once, the session's own limit lets a task hold 64 MB several times over.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.execution.arrow.maxRecordsPerBatch": "5000"}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs that start in here send Arrow batches of a few MB."""
+    before = {k: spark.conf.get(k) for k in BATCHES}
+    try:
+        for k, v in BATCHES.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back, which
     cuts the lineage: lost executors cost no recomputation of what is before."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
