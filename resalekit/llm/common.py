@@ -90,9 +90,48 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     with small_batches(df.sparkSession):
         df.write.parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables staged in each open ``scratch``.
+_scratch: list[list[str]] = []
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables that nothing reads any more, and the shuffle files of jobs that are
+    over: Spark's cleaner drops those when the driver's garbage collector has met their plans."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        hadoop = jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    jvm.System.gc()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are staged in here go at the end, but for those that the given function is
+    called with, which returns them. They belong to the scratch around this one, if there is one."""
+    own: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = own.pop()  # the one that was staged last
+        if len(_scratch) > 1:
+            _scratch[-2].append(path)
+        kept.append(path)
+        return df
+
+    kept: list[str] = []
+    keep.paths = kept
+    _scratch.append(own)
+    try:
+        yield keep
+    finally:
+        _scratch.pop()
+        discard(spark, own)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint when a bounded count proves at most ``max_rows`` rows;
     else ``df`` as it is, for a shuffle join that adaptive execution may split."""
