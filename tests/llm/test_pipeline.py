@@ -68,7 +68,7 @@ def test_odd_columns_and_empty_tables(spark, corpus, tmp_path):
 def test_registry():
     import __spark_entry__ as entry
     q = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in QUERIES} and set(QUERIES) | {"pipeline"} <= set(q)
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in QUERIES} and set(QUERIES) | {"pipeline"} <= set(q)
     assert set(ORACLE_SQL) <= set(QUERIES) and [n for n, _ in corpus_pipeline.STAGES] == [
         "toxicity", "ngram_join", "substring", "decontaminate", "packing"]
 
@@ -78,7 +78,7 @@ def test_registry():
 def test_oracle_parity(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     cur = con.execute(ORACLE_SQL[name])
     names = [d[0] for d in cur.description]
