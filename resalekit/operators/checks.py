@@ -19,15 +19,14 @@ from resalekit.functions.text import extract_postcode
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(table_name, rows) per named table, in the given order."""
-    parts = [df.agg(F.count(F.lit(1)).alias("rows"))
-               .select(F.lit(name).alias("table_name"), "rows")
-             for name, df in tables.items()]
+    parts = [single_count(df).select(F.lit(name).alias("table_name"), "rows") for name, df in tables.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
 def single_count(df: DataFrame, alias: str = "rows") -> DataFrame:
-    """COUNT(*) as one named column."""
-    return df.agg(F.count(F.lit(1)).alias(alias))
+    """COUNT(*) as one named column. A count that is pushed down to files without a row is null in Spark; it is 0 here."""
+    counted = df.agg(F.count(F.lit(1)).alias("_n"))
+    return counted.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias(alias))
 
 
 def date_range(df: DataFrame, date: str = "deedDate", *, formats=None,

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from resalekit.operators import checks, clean, enrich, history, holding, quick, ranking, segments
 from resalekit.plans import store
 from resalekit.plans.params import Params
+from resalekit.plans.profile import MEASURES, Profile, numbers, watch
 from resalekit.sources.bindings import BINDINGS, RawTables
 from resalekit.sources.sinks import write_result
 
@@ -92,41 +93,69 @@ class Inputs:
     def guarded(self) -> DataFrame:
         return self._frame("guarded", lambda: holding.guarded_metrics(self.enriched, min_days=self.params.min_hold_days))
 
+    def to_count(self, name: str) -> DataFrame:
+        """A frame with as many rows as ``name``, to be counted: of a stored table the files, whose footers tell."""
+        if name not in self.held and self.tables and name in (self.version.tables if self.version else ()):
+            return store.to_count(self.spark, self.version, name)
+        return getattr(self, name)
+
     def create_view(self, name: str = "sales_enriched") -> str:
         """The enriched frame as a temporary view that SQL can read."""
         self.enriched.createOrReplaceTempView(name)
         return name
 
 
-def build_tables(inputs: Inputs, location: str, names: Sequence[str] = STORED, buckets: int | None = None) -> Inputs:
+def build_tables(inputs: Inputs, location: str, names: Sequence[str] = STORED, buckets: int | None = None,
+                 profiled: bool = False) -> Inputs:
     """Store frames as a new version at ``location`` (a folder that all executors share) and return
     inputs that read it. A repeated entity key or district fails before the version is used, as does an
     enriched table with another number of rows than its events: either would fan out every later window.
-    Readers see the version before until then."""
-    source = replace(inputs, tables=None, held={})
+    Readers see the version before until then.
+
+    ``profiled`` (for ``STORED``, at least the clean tables) takes the counts of W01, W02, W04, W10 and W13-W15 on the way, in the same scan
+    of each raw table; these items then need no scan over the tables that are returned."""
+    source, seen = replace(inputs, tables=None, held={}), {}
+    if profiled:
+        if not {"clean_events", "clean_entities"} <= set(names):
+            raise ValueError("a profile comes with the write of both clean tables")
+        raw = inputs.raw
+        events, seen["events"] = watch(raw.events, "events")
+        entities, seen["entities"] = watch(raw.entities, "entities")
+        source = replace(source, raw_tables=replace(raw, events=events, entities=entities))
 
     def make(name: str) -> Callable[[dict[str, DataFrame]], DataFrame]:
         def run_(held: dict[str, DataFrame]) -> DataFrame:
             own = replace(source, held=dict(held))
             if name == "enriched":
                 return enrich.enrich(own.clean_events, own.clean_entities, own.raw.geo, check_keys=True)
-            return getattr(own, name)
+            df = getattr(own, name)
+            if profiled and name in MEASURES:
+                df, seen[name] = watch(df, name)
+            return df
         return run_
 
     def check(held: dict[str, DataFrame]) -> None:
         if {"clean_events", "enriched"} <= set(held) and held["clean_events"].count() != held["enriched"].count():
             raise ValueError("the enriched table does not have a row for each event")
 
+    def profile(version: store.Version) -> dict | None:
+        told = numbers(seen)
+        if told is None:
+            return None
+        counts = {n: store.to_count(inputs.spark, version, n).count() for n in STORED if n in seen}
+        counts |= {n: inputs.raw.to_count(n).count() for n in inputs.raw.countable}
+        return told if Profile(told).agrees(counts) else None
+
     names = [n for n in FRAMES if n in names]
     store.build(inputs.spark, location, {n: make(n) for n in names}, params={n: inputs.frame_params(n) for n in names},
-                buckets=buckets, check=check)
-    return replace(source, tables=location)
+                buckets=buckets, check=check, profile=profile if profiled else None)
+    return replace(inputs, tables=location, held={})
 
 
 # --- preparation and checks -------------------------------------------------
 
 def q_profile_row_counts(i: Inputs) -> DataFrame:
-    return checks.row_counts({"properties_main": i.entities, "price_history": i.events})
+    return checks.row_counts({"properties_main": i.raw.to_count("entities"), "price_history": i.raw.to_count("events")})
 
 
 def q_profile_date_range(i: Inputs) -> DataFrame:
@@ -162,7 +191,7 @@ def q_clean_events(i: Inputs) -> DataFrame:
 
 
 def q_clean_event_count(i: Inputs) -> DataFrame:
-    return checks.single_count(i.clean_events, "rows")
+    return checks.single_count(i.to_count("clean_events"), "rows")
 
 
 def q_grain_violations(i: Inputs) -> DataFrame:
@@ -174,8 +203,7 @@ def q_clean_entities(i: Inputs) -> DataFrame:
 
 
 def q_clean_vs_raw_parity(i: Inputs) -> DataFrame:
-    return checks.row_counts({"properties_main_clean": i.clean_entities,
-                              "properties_main": i.entities})
+    return checks.row_counts({"properties_main_clean": i.to_count("clean_entities"), "properties_main": i.raw.to_count("entities")})
 
 
 def q_clean_null_checks(i: Inputs) -> DataFrame:
@@ -357,7 +385,14 @@ def run(name: str, spark: SparkSession, sf_dir: str = "", binding: str = "orders
         params: Params | None = None, tables: str | None = None, raw_tables: RawTables | None = None) -> DataFrame:
     """One item over a binding of the driver's tables, or over ``raw_tables`` (see
     ``bind_raw``); with ``tables``, off the stored clean and enriched tables."""
-    return PIPELINES[name](Inputs(spark, sf_dir, binding, params or Params(), tables, raw_tables))
+    return answer(name, Inputs(spark, sf_dir, binding, params or Params(), tables, raw_tables))
+
+
+def answer(name: str, inputs: Inputs) -> DataFrame:
+    """One item: from the profile of the stored tables, if they have one that tells it, else computed."""
+    told = inputs.version.profile if inputs.tables and inputs.version else None
+    df = Profile(told).frame(inputs.spark, name) if told else None
+    return PIPELINES[name](inputs) if df is None else df
 
 
 def frames_of(name: str) -> set[str]:
@@ -394,5 +429,5 @@ def run_many(names: Sequence[str], spark: SparkSession, sf_dir: str = "", locati
     a new version at ``location``; all items read that version."""
     inputs = Inputs(spark, sf_dir, binding, params or Params(), None, raw_tables)
     if shared := shared_frames(names):
-        inputs = build_tables(inputs, location, shared, buckets)
-    return {name: PIPELINES[name](inputs) for name in names}
+        inputs = build_tables(inputs, location, shared, buckets, profiled={"clean_events", "clean_entities"} <= set(shared))
+    return {name: answer(name, inputs) for name in names}

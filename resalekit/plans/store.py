@@ -16,10 +16,12 @@ import hashlib
 import json
 import uuid
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from resalekit.sources.readers import footer_rows
+
 KEY = "property_id"
 #: Order within an entity, for the tables that are bucketed.
 LAYOUT = {"clean_events": ("sale_date",), "clean_entities": (), "enriched": ("sale_date",)}
@@ -33,6 +35,7 @@ class Version:
     number: int
     folder: str
     tables: Mapping[str, dict]
+    profile: Mapping[str, dict] | None = None
 
 
 def _path(spark: SparkSession, name: str):
@@ -61,7 +64,7 @@ def _pointers(spark: SparkSession, location: str) -> list[tuple[int, int]]:
 
 def _version(spark: SparkSession, location: str, number: int) -> Version:
     told = json.loads(_read(spark, f"{location}/pointers/{number:08d}"))
-    return Version(location, number, f"{location}/versions/{told['version']}", told["tables"])
+    return Version(location, number, f"{location}/versions/{told['version']}", told["tables"], told.get("profile"))
 
 
 def current(spark: SparkSession, location: str) -> Version | None:
@@ -88,12 +91,18 @@ def open_table(spark: SparkSession, version: Version, name: str) -> DataFrame:
     return spark.table(table)
 
 
+def to_count(spark: SparkSession, version: Version, name: str) -> DataFrame:
+    """A table of a version, to be counted: the footers of its files tell."""
+    return footer_rows(spark, f"{version.folder}/{name}", version.tables[name]["columns"])
+
+
 def build(spark: SparkSession, location: str, frames: Mapping[str, Callable[[dict[str, DataFrame]], DataFrame]], *,
           params: Mapping[str, dict] | None = None, buckets: int | None = None,
-          check: Callable[[dict[str, DataFrame]], None] | None = None) -> Version:
+          check: Callable[[dict[str, DataFrame]], None] | None = None,
+          profile: Callable[[Version], dict | None] | None = None) -> Version:
     """Write the frames as a new version and point to it. Each is a function of the tables
     written before it. ``check`` raises for a version that must not be used; what is written then stays unnamed and
-    goes with ``expire``. ``buckets`` defaults to the number of shuffle partitions; choose it so that
+    goes with ``expire``. ``profile`` gives what is kept of the tables with the pointer. ``buckets`` defaults to the number of shuffle partitions; choose it so that
     one bucket of events fits a task."""
     location = location.rstrip("/")
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -113,7 +122,7 @@ def build(spark: SparkSession, location: str, frames: Mapping[str, Callable[[dic
         held[name] = open_table(spark, version, name)
     if check:
         check(held)
-    return _point(spark, version, ident)
+    return _point(spark, replace(version, profile=profile(version) if profile else None), ident)
 
 
 def _point(spark: SparkSession, version: Version, ident: str) -> Version:
@@ -124,13 +133,13 @@ def _point(spark: SparkSession, version: Version, ident: str) -> Version:
     aside, fs = _path(spark, f"{version.location}/pointers/_{ident}")
     stream = fs.create(aside, False)
     try:
-        stream.write(bytearray(json.dumps({"version": ident, "tables": dict(version.tables)}).encode()))
+        stream.write(bytearray(json.dumps({"version": ident, "tables": dict(version.tables), "profile": version.profile}).encode()))
     finally:
         stream.close()
     target, _ = _path(spark, name)
     if fs.exists(target) or not fs.rename(aside, target):
         raise RuntimeError(f"another build has written {name}")
-    return Version(version.location, number, version.folder, version.tables)
+    return replace(version, number=number)
 
 
 def expire(spark: SparkSession, location: str, keep: int = 2, older_than: float = 7 * 86400) -> list[str]:
