@@ -99,5 +99,5 @@ def test_counts_come_from_footers(spark, tmp_path, raw_events, raw_entities, geo
 @have_data
 def test_many_items_profile_on_the_way(spark, tmp_path):
     got = run_many(["clean_events", "clean_entities", "enrich_sales", "clean_null_checks", "profile_date_range"], spark, SF, str(tmp_path / "m"), buckets=2)
-    assert "LocalTableScan" in formatted(got["profile_date_range"])
+    assert "Scan parquet" not in formatted(got["profile_date_range"])
     assert rows_of(got["profile_date_range"]) == rows_of(run("profile_date_range", spark, SF))
