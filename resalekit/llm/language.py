@@ -12,6 +12,7 @@ all batches."""
 from __future__ import annotations
 
 import functools
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import broadcast_if_small, slices, stage
 
 #: Slots of the hashed n-grams; texts and landmarks for training at most; words of the short pieces.
 BITS, TRAIN_TEXTS, LANDMARKS, PIECE, RIDGE = 17, 3000, 400, 6, 1e-2
+#: Training texts of each language at least; weights that are looked up at once.
+LEAST_TEXTS, CELLS = 10, 1 << 22
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 
@@ -46,20 +49,21 @@ def presence(text: str) -> np.ndarray:
     return np.flatnonzero(seen)
 
 
-def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
-    """Languages and the weight of every slot for each. Each text gives itself and a short
-    piece of it, so that short texts are learned too."""
+def learned(text: str) -> list[np.ndarray]:
+    """What a training text gives: itself and a short piece of it, so that short texts are learned too."""
+    words = text.split()
+    at = zlib.crc32(text.encode("utf-8", "surrogatepass")) % max(1, len(words) - PIECE + 1)
+    return [presence(x) for x in dict.fromkeys((text, " ".join(words[at:at + PIECE]))) if LETTER.search(x)]
+
+
+def fit(rows: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
+    """Languages, and the weight of every slot for each, of presence vectors and their languages. Each
+    language has a landmark at least."""
     names = sorted(set(langs))
-    rows, y = [], []
-    for i, (t, lang) in enumerate(zip(texts, langs)):
-        words = t.split()
-        at = (i * 7919) % max(1, len(words) - PIECE + 1)
-        for x in dict.fromkeys((t, " ".join(words[at:at + PIECE]))):
-            if LETTER.search(x):
-                rows.append(presence(x))
-                y.append(names.index(lang))
     if not rows:
         return [], np.zeros((1 << BITS, 0), np.float32)
+    place = {lang: c for c, lang in enumerate(names)}
+    y = [place[lang] for lang in langs]
     y = np.array(y)
     root = np.sqrt([len(r) for r in rows])
     # landmarks: as many of each language, spread over the rows
@@ -79,18 +83,48 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     return names, (marks.T.astype(np.float32) @ (half @ a / root[order, None]).astype(np.float32))
 
 
-def sample(docs: DataFrame, training: Column, most: int = TRAIN_TEXTS) -> DataFrame:
+def sample(docs: DataFrame, training: Column, most: int = TRAIN_TEXTS, least: int = LEAST_TEXTS) -> DataFrame:
     """About ``most`` labelled rows that may be learned from, as many of each
-    language as there are, picked by a hash of doc_id."""
+    language as there are, picked by a hash of doc_id. Where that would be fewer than ``least`` of each
+    language, ``least`` of each: no language is left out, however many there are."""
     rows = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    count = rows.groupBy("lang").count()
-    each = [(r["lang"], r["count"]) for r in count.orderBy(F.desc("count"), "lang").limit(most // 10).collect()]
-    if not each:
-        return rows.limit(0)
-    quota = most / len(each)
-    share = F.create_map(*[F.lit(x) for lang, n in each for x in (lang, min(1.0, quota / n))])
+    each = stage(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    langs = each.count()
+    quota = max(most / max(1, langs), least)
+    share = each.select(F.col("lang").alias("of_lang"), F.least(F.lit(1.0), F.lit(quota) / F.col("n")).alias("share"))
     lot = (F.xxhash64(F.lit(5), "doc_id").bitwiseAND(F.lit((1 << 40) - 1))) / F.lit(float(1 << 40))
-    return rows.filter(lot < share[F.col("lang")]).limit(2 * most)
+    return rows.join(broadcast_if_small(share), F.col("lang") == F.col("of_lang")).filter(lot < F.col("share")).limit(int(2 * quota * langs))
+
+
+def _vectors(rows: DataFrame) -> tuple[list[np.ndarray], list[str]]:
+    """Presence vectors of the sampled rows and their languages, in one order. They are made in the
+    tasks; a text of any length is 2^17 slots at most here."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                for doc, lang, text in zip(*(part.column(c).to_pylist() for c in ("doc", "lang", "text"))):
+                    own = [(doc, lang, v) for v in learned(text)]
+                    if own:
+                        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in own], pa.string()), pa.array([o[1] for o in own], pa.string()),
+                                                          pa.array([o[2].astype(np.int32).tobytes() for o in own], pa.binary())], ["doc", "lang", "slots"])
+
+    made = rows.select(F.col("doc_id").cast("string").alias("doc"), "lang", "text").mapInArrow(run, "doc string, lang string, slots binary")
+    got = sorted((r["doc"] or "", r["lang"], bytes(r["slots"])) for r in made.toPandas().to_dict("records"))
+    return [np.frombuffer(r[2], np.int32) for r in got], [r[1] for r in got]
+
+
+def scores(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """The regressions' values for presence vectors, ``CELLS`` weights at a time."""
+    n = np.array([len(r) for r in rows])
+    flat, ends = np.concatenate(rows), np.cumsum(n)
+    out, step = np.zeros((len(rows), weights.shape[1])), max(1, CELLS // weights.shape[1])
+    for a in range(0, len(flat), step):
+        b = min(a + step, len(flat))
+        first, last = np.searchsorted(ends, [a, b - 1], side="right")
+        starts = np.maximum((ends - n)[first:last + 1], a) - a
+        out[first:last + 1] += np.add.reduceat(weights[flat[a:b]], starts, axis=0)
+    return out / np.sqrt(n)[:, None]
 
 
 def identify(docs: DataFrame, training: Column, most: int = TRAIN_TEXTS) -> DataFrame:
@@ -98,12 +132,11 @@ def identify(docs: DataFrame, training: Column, most: int = TRAIN_TEXTS) -> Data
     languages' regressions). ``training`` marks the rows that may be learned from.
 
     Null text or no letter, or nothing to learn from: ``und`` with score 0. The
-    model is fitted on about ``most`` rows (driver memory is bounded by them);
+    model is fitted on the presence vectors of about ``most`` rows, or of ``LEAST_TEXTS`` of each language if that is more
+    (the driver's memory is bounded by them), and takes half a MB a language;
     every whole text is scored in one pass without a shuffle. Null or
     repeated doc_id: each row is scored by its text. Other columns are not read."""
-    rows = sample(docs, training, most).select(F.col("doc_id").cast("string"), "lang", "text").toLocalIterator()
-    rows = sorted(((r["doc_id"] or "", r["lang"], r["text"]) for r in rows))
-    names, weights = fit([r[2] for r in rows], [r[1] for r in rows])
+    names, weights = fit(*_vectors(sample(docs, training, most)))
     model = docs.sparkSession.sparkContext.broadcast((names, weights))
 
     def run(batches):
@@ -114,9 +147,7 @@ def identify(docs: DataFrame, training: Column, most: int = TRAIN_TEXTS) -> Data
                 known = [i for i, t in enumerate(texts) if t and names and LETTER.search(t)]
                 lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 if known:
-                    x = [presence(texts[i]) for i in known]
-                    n = np.array([len(r) for r in x])
-                    f = np.add.reduceat(weights[np.concatenate(x)], np.cumsum(n) - n, axis=0) / np.sqrt(n)[:, None]
+                    f = scores(weights, [presence(texts[i]) for i in known])
                     p = np.exp(4 * (f - f.max(1, keepdims=True)))
                     score[known] = 1 / p.sum(1)
                     for i, best in zip(known, f.argmax(1)):

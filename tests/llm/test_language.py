@@ -27,14 +27,41 @@ def test_presence_is_the_set_of_grams():
 
 
 def test_scores_are_kernel_products():
-    """The weights give the same as kernels with every landmark, Nystroem features and ridge regression."""
+    """The weights give the same as kernels with the landmarks, Nystroem features and ridge regression, from sets of slots."""
     texts = [text(lang, 30, i) for lang in SYLLABLES for i in range(6)]
     langs = [lang for lang in SYLLABLES for _ in range(6)]
-    names, w = language.fit(texts, langs, landmarks=1000)
+    rows = [language.presence(t) for t in texts]
+    names, w = language.fit(rows, langs, landmarks=1000, ridge=0.05)
     assert names == sorted(SYLLABLES)
-    x = language.presence(text("aa", 8, 77))
-    f = w[x].sum(0) / np.sqrt(len(x))
-    assert names[int(f.argmax())] == "aa" and f.max() > 0.3 > np.sort(f)[-2]
+    kernel = lambda a, b: len(set(a) & set(b)) / (len(a) * len(b)) ** 0.5
+    k = np.array([[kernel(a, b) for b in rows] for a in rows])
+    values, vectors = np.linalg.eigh(k)
+    phi = k @ vectors / np.sqrt(values)
+    target = np.array([[1.0 if lang == name else -1.0 for name in names] for lang in langs])
+    a = np.linalg.solve(phi.T @ phi + 0.05 * len(rows) / 100 * np.eye(len(rows)), phi.T @ target)  # as many rows of each
+    asked = [language.presence(text(lang, n, 77)) for lang in SYLLABLES for n in (1, 8, 300)]
+    want = np.array([[kernel(x, r) for r in rows] for x in asked]) @ vectors / np.sqrt(values) @ a
+    assert np.abs(language.scores(w, asked) - want).max() < 1e-4
+    assert [names[c] for c in want.argmax(1)] == [lang for lang in SYLLABLES for _ in range(3)]
+
+
+def test_blocks_of_weights_do_not_matter(monkeypatch):
+    rng = np.random.default_rng(3)
+    w = rng.normal(size=(1 << language.BITS, 3))
+    rows = [np.sort(rng.choice(1 << language.BITS, n, replace=False)) for n in (1, 5, 400, 2, 90)]
+    whole = language.scores(w, rows)
+    monkeypatch.setattr(language, "CELLS", 21)
+    assert np.allclose(language.scores(w, rows), whole) and np.allclose(whole, [w[r].sum(0) / len(r) ** 0.5 for r in rows])
+
+
+def test_every_language_is_learned(spark):
+    """More languages than the texts that are asked for; each has its own letters."""
+    own = {f"l{c:03d}": [chr(0x4E00 + 40 * c + i) for i in range(40)] for c in range(350)}
+    say = lambda lang, seed: " ".join("".join(random.Random(f"{lang}{seed}{i}").choices(own[lang], k=3)) for i in range(12))
+    rows = [(1000 * s + c, say(lang, s), lang) for c, lang in enumerate(own) for s in range(3)]
+    got = {r["doc_id"]: r["lang_pred"] for r in collect(language.identify(table(spark, rows), F.col("doc_id") < 2000, most=100))}
+    assert sum(got[i] == lang for i, _, lang in rows if i >= 2000) >= 0.95 * len(own)
+    assert len({got[i] for i, _, _ in rows}) >= 0.95 * len(own)
 
 
 def test_held_out_texts(spark):
