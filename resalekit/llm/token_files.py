@@ -14,11 +14,13 @@ plane b holds bit b (or byte b) of every id, compressed with zstandard alone;
 an all-zero plane has no bytes. The doc table is, for each document, u8 "has an
 id", i64 doc_id, u32 ids. The index is u64 offset, u64 first id, u32 ids for
 each chunk. Spark's text writer streams the binary rows to any file system and
-sets ``SEPARATOR`` after each; offsets count it.
+sets ``SEPARATOR`` after each; offsets count it. It begins a new file every ``FILE_ROWS`` rows: a file that is
+followed by another of its task has empty rows before its footer, which nothing points to.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +35,8 @@ from .tokens import ENCODE_BYTES, encode, forget
 
 MAGIC, SEPARATOR = b"BPS1", "\n"
 BLOCK = 1 << 16
+#: Rows of a file at most (chunks and the footer; some 130 MB), and text for each task.
+FILE_ROWS, TASK_BYTES = 1024, 1 << 26
 DOCS = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("n", "<u4")])
 INDEX = np.dtype([("offset", "<u8"), ("first", "<u8"), ("n", "<u4")])
 TRAILER = np.dtype([("docs", "<u4"), ("index", "<u4"), ("ids", "<u8"), ("magic", "S4")])
@@ -67,9 +71,11 @@ def unpack_chunk(data: memoryview) -> np.ndarray:
     return np.ascontiguousarray(rows.T).view("<u4").ravel()
 
 
-def _file(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, block: int, planes: str) -> Iterator[bytes]:
+def _file(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, block: int, planes: str, rows: int) -> Iterator[bytes]:
+    """The rows of the files of a task, ``rows`` for each but the last. A document lies in one file; one that
+    is too long for so many chunks has a file of larger ones."""
     docs, index, offset, first = [], [], 0, 0
-    rest = np.empty(0, np.uint32)
+    held, have, total, size = [], 0, 0, block
 
     def chunk(ids):
         nonlocal offset, first
@@ -78,43 +84,70 @@ def _file(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, block:
         offset, first = offset + len(data) + len(SEPARATOR), first + len(ids)
         return data
 
+    def close(more: bool):
+        nonlocal docs, index, offset, first, held, have, total
+        if have:
+            yield chunk(np.concatenate(held))
+        for _ in range(rows - 1 - len(index) if more else 0):
+            yield b""
+        z = zstandard.ZstdCompressor()
+        a, b = (z.compress(np.array(x, kind).tobytes()) for x, kind in ((docs, DOCS), (index, INDEX)))
+        yield a + b + np.array([(len(a), len(b), first, MAGIC)], TRAILER).tobytes()
+        docs, index, offset, first, held, have, total = [], [], 0, 0, [], 0, 0
+
+    end = np.array([end_id], np.uint32)
     for batch in batches:
         for part in slices(batch, most=ENCODE_BYTES):
-            keys, held = part.column("doc_id").to_pylist(), [rest]
-            for key, ids in zip(keys, encode(part.column("text").to_pylist(), tokenizer)):
-                docs.append((key is not None, key or 0, len(ids) + 1))
-                held += [ids, np.array([end_id], np.uint32)]
-            rest = np.concatenate(held)
-            for at in range(0, len(rest) - block + 1, block):
-                yield chunk(rest[at:at + block])
-            rest = rest[len(rest) // block * block:]
+            for key, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist(), tokenizer)):
+                n = len(ids) + 1
+                if docs and total + n > (rows - 1) * block:
+                    yield from close(True)
+                if not docs:
+                    size = max(block, -(-n // (rows - 1)))
+                docs.append((key is not None, key or 0, n))
+                held += [ids, end]
+                have, total = have + n, total + n
+                if have >= size:
+                    ready = np.concatenate(held)
+                    for at in range(0, have - size + 1, size):
+                        yield chunk(ready[at:at + size])
+                    held = [ready[have // size * size:].copy()]
+                    have = len(held[0])
     forget(tokenizer)
-    if not docs:
-        return
-    if len(rest):
-        yield chunk(rest)
-    z = zstandard.ZstdCompressor()
-    a, b = (z.compress(np.array(x, kind).tobytes()) for x, kind in ((docs, DOCS), (index, INDEX)))
-    yield a + b + np.array([(len(a), len(b), first, MAGIC)], TRAILER).tobytes()
+    if docs:
+        yield from close(False)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block: int = BLOCK,
-                      planes: str = "bit") -> None:
+                      planes: str = "bit", rows_per_file: int = FILE_ROWS, task_bytes: int = TASK_BYTES) -> None:
     """Encode ``text`` of ``docs`` and write the ids, each document's with
     ``end_id`` after them, in ascending doc_id order over the files.
 
-    ``docs`` is range-partitioned by doc_id; a task holds its doc table, one
-    slice of texts and one chunk. Null or empty text: the end id alone. Null
-    doc_id: first. Rows with the same doc_id lie side by side, shorter and then
-    smaller text first. No rows: no files with documents. Other columns are not read."""
+    ``docs`` is range-partitioned by doc_id, then size and a row number, so rows with one doc_id, or equal ones, are
+    many tasks' if they are many; the number of tasks grows with the bytes of text. A task holds the doc table of a file, one
+    slice of texts and one chunk; a file has ``rows_per_file`` rows (2 at least) at most, however many documents a task has. Null or empty
+    text: the end id alone. Null doc_id: first. Rows with the same doc_id lie side by side, shorter text
+    first. No rows: no files with documents. Other columns are not read."""
 
     def run(batches):
-        for data in _file(batches, tokenizer, end_id, block, planes):
+        for data in _file(batches, tokenizer, end_id, block, planes, rows_per_file):
             yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange("doc_id")
-    rows = rows.sortWithinPartitions("doc_id", F.octet_length("text"), "text").mapInArrow(run, "data binary")
-    rows.select(F.col("data").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    total = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // task_bytes))
+    order = ["doc_id", "size", "salt"]
+    # the number of a row in its scan: a scan that runs again gives the same
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.octet_length("text").alias("size"),
+                       F.monotonically_increasing_id().alias("salt"))
+    rows = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, "data binary")
+    out = rows.select(F.col("data").cast("string").alias("value")).write.option("lineSep", SEPARATOR)
+    out.option("maxRecordsPerFile", rows_per_file).text(path)
+
+
+def _place(path: str) -> tuple[int, ...]:
+    """The task of a file, and which of the task's files it is."""
+    found = re.search(r"part-(\d+)-.*?-c(\d+)", path.rsplit("/", 1)[-1])
+    return tuple(map(int, found.groups())) if found else ()
 
 
 def _footer(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +206,7 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = True) -> DataFr
     # one row per file: few, however many documents there are
     found = [tuple(r) for r in files.select("path", "content").mapInArrow(totals, "path string, first bigint, n bigint").toLocalIterator()]
     before, by_file = 0, []
-    for path_, _, n in sorted(found, key=lambda r: (r[1] is not None, r[1] or 0, r[0])):
+    for path_, _, n in sorted(found, key=lambda r: (r[1] is not None, r[1] or 0, _place(r[0]), r[0])):
         by_file.append((path_, before))
         before += n
     base = broadcast_if_small(spark.createDataFrame(by_file, "path string, base bigint"))

@@ -61,6 +61,30 @@ def test_files_round_trip(spark, tmp_path, planes, block):
     assert known == sorted(known) and sorted(got, key=lambda r: r["start"])[0]["doc_id"] is None
 
 
+def test_files_are_rolled_and_one_doc_id_is_split(spark, tmp_path):
+    """A third of the rows has no doc_id, many of them are equal; one document is longer than a whole file."""
+    rows = [(None, "same words again" if i % 2 else prose(i % 9, i)) for i in range(150)] + [(i * 7 % 300, prose(i % 40, i)) for i in range(300)]
+    rows += [(500, prose(2000, 4)), (501, "")]
+    path = str(tmp_path / "f")
+    token_files.write_token_files(documents(spark, rows), path, PATH, block=32, rows_per_file=5, task_bytes=2000)
+    files = [f for f in (tmp_path / "f").iterdir() if f.name.startswith("part-")]
+    assert len(files) > 60 and len({token_files._place(f.name)[0] for f in files}) < len(files)
+    nulls, longest = 0, 0
+    for f in files:
+        docs, index = token_files._footer(f.read_bytes())
+        assert len(index) <= 4 and (docs["n"].sum() <= 4 * 32 or len(docs) == 1) and docs["n"].sum() == index["n"].sum()
+        nulls += not docs["known"].all()
+        longest = max(longest, len(docs))
+    assert nulls > 5
+    got = sorted(collect(token_files.read_token_files(spark, path)), key=lambda r: r["start"])
+    assert len(got) == len(rows) and got[0]["start"] == 0
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+    keys = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in got]
+    assert keys == sorted(keys)
+    want = sorted((i is not None, i or 0, library(t) + [1]) for i, t in rows)
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["ids"]) for r in got) == want
+
+
 def test_files_of_an_empty_table(spark, tmp_path):
     token_files.write_token_files(documents(spark, []), str(tmp_path / "f"), PATH)
     assert token_files.read_token_files(spark, str(tmp_path / "f")).count() == 0
