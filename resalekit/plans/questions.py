@@ -404,8 +404,9 @@ def frames_of(name: str) -> set[str]:
             return set()
         seen.add(function)
         names = function.__code__.co_names
+        named = {*names, *(c for c in function.__code__.co_consts if isinstance(c, str))}  # attributes, or given to ``to_count``
         called = [f for n in names if isinstance(f := function.__globals__.get(n), FunctionType) and n.startswith("q_")]
-        return set(FRAMES).intersection(names).union(*map(walk, called))
+        return set(FRAMES).intersection(named).union(*map(walk, called))
 
     return walk(PIPELINES[name])
 

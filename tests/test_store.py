@@ -95,6 +95,7 @@ def test_shared_frames():
     assert shared_frames(["holding_metrics", "winners_losers_dense"]) == ["holding"]
     assert shared_frames(["holding_metrics", "winners_losers_annualized"]) == ["enriched"]
     assert shared_frames(["clean_events", "enrich_sales"]) == ["clean_events"]
+    assert shared_frames(["clean_event_count", "grain_violations"]) == ["clean_events"]
 
 
 @have_data
