@@ -10,9 +10,11 @@ a shingle among the first n - ceil(threshold n) + 1 of each in the global order.
 the bucket of such a shingle every set meets the one with the fewest rarer
 shingles before it, which in a group of near copies is the closest to what they
 were copied from; verified links make components. Then pairs of different
-components in a bucket are met, unless their lengths, places or parity bits
-rule a link out; the members of a bucket's largest component do not meet each
-other. So no link between components is lost, and no group is expanded to all its pairs."""
+components in a bucket are met; the members of a bucket's largest component do not meet each other.
+A pair need only meet at the first shingle that both have. What stands before it in either
+set is not shared, so its place bounds the sizes that a partner may have: sets are joined by shingle and
+band of sizes, and one that has too many own shingles before a shingle meets nothing there, as in pages of one
+template that do not link. Parity bits rule out more. So no link between components is lost."""
 
 from __future__ import annotations
 
@@ -114,6 +116,26 @@ def _fits(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (most >= _need(na, nb, percent))
 
 
+#: Bands of sizes for each factor of e.
+BANDS = 50
+
+
+def mixed_pairs(at: DataFrame, percent: int) -> DataFrame:
+    """The rows x and y of ``at`` (buckets: token, sid, n, pos, comp, main, bits) of different components whose
+    sizes allow a link if the token is the first that both have: n - pos is the most that a set can then share."""
+
+    def band(c: str) -> Column:
+        return F.floor(F.ln(F.col(c)) * BANDS).cast("int")
+
+    at = at.withColumn("lo", F.expr(f"(n * {percent} + 99) div 100")).withColumn(
+        "hi", F.expr(f"least(n * 100 div {percent}, (n - pos) * {100 + percent} div {percent} - n)")).filter("hi >= lo")
+    x = at.filter("comp <> main").withColumn("band", F.explode(F.sequence(band("lo"), band("hi")))).alias("x")
+    y = at.withColumn("band", band("n")).alias("y")
+    return x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp"))
+                  & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.sid") < F.col("y.sid")))
+                  & F.col("y.n").between(F.col("x.lo"), F.col("x.hi")) & F.col("x.n").between(F.col("y.lo"), F.col("y.hi")))
+
+
 def _apart() -> Column:
     """At most the shingles that only one of x and y has: parities that differ."""
     return F.expr("aggregate(zip_with(x.bits, y.bits, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)")
@@ -216,9 +238,7 @@ def join_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
         F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
     at = at.join(per, "token").join(sets.select("sid", "bits"), "sid")
     at = stage(at, "mixed-buckets")
-    x, y = at.filter("comp <> main").alias("x"), at.alias("y")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp"))
-                  & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.sid") < F.col("y.sid"))) & _fits("x", "y", percent))
+    rest = mixed_pairs(at, percent)
     rest = rest.filter(_apart() <= _differ(percent)).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
     more = verified(stage(rest.distinct(), "rest-pairs"), docs, sets, repeated, cut, k, percent)
     label = components(links.unionByName(more))

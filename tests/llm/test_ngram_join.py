@@ -3,6 +3,7 @@ import random
 import pytest
 
 from helpers import LOWER, ODD, WORDS, collect, documents, extra, prose
+from resalekit.llm import ngram_join
 from resalekit.llm.ngram_join import join_components, one_of_each
 
 
@@ -86,3 +87,25 @@ def test_empty_table(spark):
     docs = documents(spark, [])
     joined = join_components(docs)
     assert joined.count() == 0 and one_of_each(docs, joined).count() == 0
+
+
+def test_pages_of_one_template_do_not_all_meet(spark, monkeypatch):
+    """Pages that share 100 words and have 10 of their own do not link, but for a few near copies."""
+    rng, common = random.Random(3), prose(100, 1, 10**6)
+    texts = [f"{common} {prose(10, 100 + i, 10**6)}" for i in range(150)]
+    for i in range(30):
+        words = texts[i].split()
+        words[rng.choice([0, 60, 109])] = f"e{i}"
+        texts.append(" ".join(words))
+    met, pairs_of = [], ngram_join.mixed_pairs
+
+    def counted(*args):
+        met.append(pairs_of(*args))
+        return met[-1]
+
+    monkeypatch.setattr(ngram_join, "mixed_pairs", counted)
+    got = collect(join_components(documents(spark, texts)))
+    assert met[0].count() < 20 * len(texts)  # of some 16,000 pairs, each in several buckets
+    want = brute(list(enumerate(texts)), 4, 85)
+    assert all({(r["n_shingles"], r["component_id"])} == want[r["doc_id"]] for r in got) and len(got) == len(want)
+    assert len({r["component_id"] for r in got}) < len(got)
