@@ -6,7 +6,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,12 +15,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from resalekit.session import shared_root
+
 # Arrow's own allocator keeps freed batches; the system's gives them back, so that a
 # worker holds no more than what it works on.
 pa.set_memory_pool(pa.system_memory_pool())
 
 
-
 @functools.lru_cache(maxsize=1)
 def _libc():
     """The C library, told to map large arrays one by one, if it can; else None."""
@@ -44,20 +44,6 @@ BROADCAST_ROWS = 500_000
 SLICE_BYTES = 1 << 20
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Only a local session that
-    names none gets a temporary folder; a cluster without one is an error."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    root = root or sc.getCheckpointDir()
-    if not root:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="llm-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it goes when the application ends."""
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
