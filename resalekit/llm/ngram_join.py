@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, pieces, shingles, slices, stage
+from .common import broadcast_if_small, discard, pieces, scratch, shingles, slices, stage
 from .graph import components
 
 SHINGLE, PERCENT = 4, 85
@@ -208,48 +208,68 @@ def join_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     and no link, and component_id is the doc_id. Null doc_ids are
     never the smallest; a component of nulls alone has a null id. Repeated rows
     are rows of one component. Other columns are not read; no rows: no rows."""
-    counts = slot_counts(docs, k)
-    sc = docs.sparkSession.sparkContext
-    rank, cut = (sc.broadcast(x) for x in order_and_fragments(counts))
-    rows = stage(_sets(docs, rank, cut, k, percent), "shingle-sets")
-    sets = stage(rows.filter("n > 0").groupBy("sid").agg(F.first(F.struct("key", "n", "bits", "sizes", "tokens")).alias("x")).select(
-        "sid", "x.*"), "distinct-sets")
-    repeated = rows.filter("n > 0").groupBy("sid", "key").agg(F.count("*").alias("c")).filter("c > 1")
-    repeated = stage(repeated.select("sid").distinct(), "repeated-rows")
-    prefix = sets.select("sid", "n", F.posexplode("tokens").alias("pos", "token"))
-    shared = stage(prefix.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "shared-tokens")
-    met = stage(prefix.join(broadcast_if_small(shared, 2_000_000), "token"), "buckets")
+    spark = docs.sparkSession
+    rank, cut = (spark.sparkContext.broadcast(x) for x in order_and_fragments(slot_counts(docs, k)))
+    with scratch(spark) as keep:
+        with scratch(spark) as keep_sets:
+            rows = stage(_sets(docs, rank, cut, k, percent), "shingle-sets")
+            sets = keep_sets(stage(rows.filter("n > 0").groupBy("sid").agg(F.first(F.struct("key", "n", "bits", "sizes", "tokens")).alias("x")).select(
+                "sid", "x.*"), "distinct-sets"))
+            repeated = rows.filter("n > 0").groupBy("sid", "key").agg(F.count("*").alias("c")).filter("c > 1")
+            repeated = keep_sets(stage(repeated.select("sid").distinct(), "repeated-rows"))
+            rows = keep_sets(stage(rows.select("doc_id", "key", "n", "sid"), "set-rows"))
+        rows = keep(rows)
+        label = keep(stage(_components_of_sets(docs, sets, repeated, cut, k, percent, keep), "set-labels"))
+
+        # the smallest doc_id of each component
+        rows = rows.join(broadcast_if_small(label.toDF("sid", "label")), "sid", "left")
+        rows = rows.withColumn("label", F.coalesce("label", "sid"))
+        least = rows.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
+        rows = rows.join(broadcast_if_small(keep(stage(least, "component-ids"))), "label", "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(
+        F.col("doc_id")).alias("component_id"), "key", F.when(F.col("n") > 0, F.col("label")).alias("label"))
+
+
+def _components_of_sets(docs: DataFrame, sets: DataFrame, repeated: DataFrame, cut, k: int, percent: int, keep_buckets) -> DataFrame:
+    """(id, component) of the sets that link with any. Each step's tables go when the next has its own, but
+    for the buckets that ``mixed_pairs`` reads, which ``keep_buckets`` gets."""
+    spark = docs.sparkSession
+    with scratch(spark) as keep_met:
+        prefix = sets.select("sid", "n", F.posexplode("tokens").alias("pos", "token"))
+        shared = stage(prefix.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "shared-tokens")
+        met = keep_met(stage(prefix.join(broadcast_if_small(shared, 2_000_000), "token"), "buckets"))
 
     # each set with the first of its bucket; of several such sets, the one it meets most often
-    first = met.groupBy("token").agg(F.min(F.struct("pos", "sid", "n")).alias("r")).select("token", "r.*")
-    star = met.alias("x").join(first.alias("y"), "token").filter((F.col("x.sid") != F.col("y.sid")) & _fits("x", "y", percent))
-    star = star.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count("*").alias("c"))
-    star = star.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
-    x, y = (sets.select(F.col("sid").alias(c), "n", "bits").alias(t) for c, t in (("a", "x"), ("b", "y")))
-    star = star.join(x, "a").join(y, "b").filter(_apart() <= _differ(percent)).select("a", "b")
-    star = stage(star, "star-pairs")
-    links = stage(verified(star, docs, sets, repeated, cut, k, percent), "star-links")
-    label = components(links)
+    with scratch(spark) as keep:
+        first = met.groupBy("token").agg(F.min(F.struct("pos", "sid", "n")).alias("r")).select("token", "r.*")
+        star = met.alias("x").join(first.alias("y"), "token").filter((F.col("x.sid") != F.col("y.sid")) & _fits("x", "y", percent))
+        star = star.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).agg(F.count("*").alias("c"))
+        star = star.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+        x, y = (sets.select(F.col("sid").alias(c), "n", "bits").alias(t) for c, t in (("a", "x"), ("b", "y")))
+        star = star.join(x, "a").join(y, "b").filter(_apart() <= _differ(percent)).select("a", "b")
+        star = keep(stage(star, "star-pairs"))
+    with scratch(spark) as keep:
+        links = keep(stage(verified(star, docs, sets, repeated, cut, k, percent), "star-links"))
+    with scratch(spark) as keep:
+        label = keep(stage(components(links), "star-labels"))
 
     # what is left: pairs of different components
-    small = broadcast_if_small(label.toDF("sid", "comp"))
-    at = met.join(small, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    per = at.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(
-        F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
-    at = at.join(per, "token").join(sets.select("sid", "bits"), "sid")
-    at = stage(at, "mixed-buckets")
-    rest = mixed_pairs(at, percent)
-    rest = rest.filter(_apart() <= _differ(percent)).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
-    more = verified(stage(rest.distinct(), "rest-pairs"), docs, sets, repeated, cut, k, percent)
-    label = components(links.unionByName(more))
-
-    # the smallest doc_id of each component
-    rows = rows.select("doc_id", "key", "n", "sid").join(broadcast_if_small(label.toDF("sid", "label")), "sid", "left")
-    rows = rows.withColumn("label", F.coalesce("label", "sid"))
-    least = rows.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    rows = rows.join(broadcast_if_small(stage(least, "component-ids")), "label", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(
-        F.col("doc_id")).alias("component_id"), "key", F.when(F.col("n") > 0, F.col("label")).alias("label"))
+    with scratch(spark) as keep_at:
+        small = broadcast_if_small(label.toDF("sid", "comp"))
+        at = met.join(small, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        per = at.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(
+            F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
+        at = at.join(per, "token").join(sets.select("sid", "bits"), "sid")
+        at = keep_at(stage(at, "mixed-buckets"))
+    at = keep_buckets(at)
+    discard(spark, keep_met.paths)
+    with scratch(spark) as keep:
+        rest = mixed_pairs(at, percent)
+        rest = rest.filter(_apart() <= _differ(percent)).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"))
+        rest = keep(stage(rest.distinct(), "rest-pairs"))
+    with scratch(spark) as keep:
+        more = keep(stage(verified(rest, docs, sets, repeated, cut, k, percent), "rest-links"))
+    return components(links.unionByName(more))
 
 
 def one_of_each(docs: DataFrame, joined: DataFrame) -> DataFrame:

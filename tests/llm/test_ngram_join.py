@@ -109,3 +109,19 @@ def test_pages_of_one_template_do_not_all_meet(spark, monkeypatch):
     want = brute(list(enumerate(texts)), 4, 85)
     assert all({(r["n_shingles"], r["component_id"])} == want[r["doc_id"]] for r in got) and len(got) == len(want)
     assert len({r["component_id"] for r in got}) < len(got)
+
+
+def test_tables_of_finished_steps_are_gone(spark):
+    import os
+
+    from resalekit.session import shared_root
+
+    def tables():
+        return set(os.listdir(shared_root(spark).removeprefix("file:")))
+
+    rows = documents(spark, [*ODD, *family(5, 80, 12, 4), *family(6, 60, 8, 3)])
+    before = tables()
+    joined = join_components(rows)
+    left = {t.rsplit("-", 1)[0] for t in tables() - before}
+    assert left == {"set-rows", "set-labels", "component-ids", "mixed-buckets"}
+    assert joined.count() == rows.count()
